@@ -1,0 +1,41 @@
+"""Shared scratch tables: where lineage is cut, and where archives and models lie.
+
+The folder is the one the cluster names in spark.checkpoint.dir, which driver
+and executors share. Where that is unset (tests on one machine), a temporary
+folder is made and set once for the session.
+"""
+
+from __future__ import annotations
+
+import atexit
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The URI of a new folder of this session's own; it goes when the interpreter ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="emberline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/emberline-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder; nothing happens where the session has ended."""
+    with contextlib.suppress(Exception):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The frame as a Parquet table in scratch, read again: its lineage ends there."""
+    spark = df.sparkSession
+    path = path or f"{folder(spark)}/table"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
