@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm._scratch import folder
+from emberline.scratch import folder
 
 STAGES: list = []
 ORACLE_SQL = None
