@@ -35,6 +35,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[[ord(c) for c in ".,;:!?*$%&#()"]] = True
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x5851F42D4C957F2D | 1
@@ -121,6 +124,27 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
+def units(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and plainness of the units of a block's rows, the bytes to read them from, and the rows' first units.
+
+    Units are words, cut where an ASCII letter meets a mark such as a full stop: tokenizers cut there too. Plain units, of ASCII
+    letters only, are lower-cased, so that fewer differ.
+    """
+    words, data = block.words(lower=False), block.data
+    cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1 if len(data) else np.zeros(0, np.int64)
+    inside = np.ones(len(data) + 1, bool)
+    inside[block.offsets] = False
+    cut = cut[inside[cut]]
+    start, end = np.sort(np.concatenate([words.start, cut])), np.sort(np.concatenate([words.end, cut]))
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    plain = letters[end] - letters[start] == end - start
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start[plain]] += 1
+    step[end[plain]] -= 1
+    data = np.where(np.cumsum(step[:-1], dtype=np.int8).astype(bool), LOWER[data], data)
+    return start, end, plain, data, np.searchsorted(start, block.offsets)
+
+
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each row, sorted, and where each row's begin.
 
