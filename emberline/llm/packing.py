@@ -14,8 +14,8 @@ what is left at the very end goes into windows whose sizes are the powers of
 two of its length, which need no padding.
 
 Ids: the tokenizer drops white space and never joins across it, so a text's ids
-are those of its white-space-separated words in turn; each distinct word is
-encoded once per worker (`WordEncoder`). Then `END_ID` closes each document.
+are those of its white-space-separated words in turn, cut further where the
+tokenizer cuts; each distinct unit is encoded once per worker (`WordEncoder`). Then `END_ID` closes each document.
 
 Defined results: a null text is empty and yields one piece with the end id; a
 null doc_id passes through; repeated rows are packed once each; an empty table
@@ -33,24 +33,27 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._bytes import Block, blocks
+from ._bytes import Block, Rolling, blocks, units
 
 CAPACITY = 4096
 END_ID = 2
 OPEN = 2048
 REMEMBER = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+LINE = 256
 _encoders: dict = {}
 
 
 class WordEncoder:
-    """Ids of whole texts by way of their distinct words; keeps at most REMEMBER words."""
+    """Ids of whole texts by way of their distinct units; keeps at most REMEMBER units."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -58,10 +61,24 @@ class WordEncoder:
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
+    def _encoded(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has. plain: words of ASCII letters only, encoded by the line."""
+        some, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        lines = [" ".join(words[i] for i in some[k : k + LINE]) for k in range(0, len(some), LINE)]
+        flat = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.uint32)
+        ends = np.flatnonzero(self.closes[flat])
+        if len(ends) != len(some) or len(ends) and ends[-1] + 1 != len(flat):
+            some, other, flat, ends = some[:0], np.arange(len(words)), flat[:0], ends[:0]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
+        flat = np.concatenate([flat, np.array([i for ids in rest for i in ids], np.uint32)])
+        lengths = np.concatenate([np.diff(ends, prepend=-1), np.array([len(ids) for ids in rest], np.int64)])
+        order = np.argsort(np.concatenate([some, other]), kind="stable")
+        starts = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        return flat[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(flat))], lengths
+
+    def _learn(self, keys: list[int], words: list[str], plain: np.ndarray) -> None:
+        flat, lengths = self._encoded(words, plain)
         first, n = len(self.index), len(self.index) + len(keys)
         while len(self.starts) < n:
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
@@ -75,29 +92,26 @@ class WordEncoder:
 
     def encode(self, block: Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's rows, each row closed by end_id, and the offsets of the rows."""
-        words = block.words(lower=False)
-        keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        start, end, plain, data, offsets = units(block)
+        keys, first, inverse = np.unique(Rolling(data).of(start, end), return_index=True, return_inverse=True)
         if len(self.index) + len(keys) > REMEMBER:
             self.forget()
         known = keys.tolist()
         new = [k for k, key in enumerate(known) if key not in self.index]
         if new:
-            raw = block.data.tobytes()
+            raw = data.tobytes()
             at = first[new]
-            spans = zip(words.start[at].tolist(), words.end[at].tolist())
-            self._learn([known[k] for k in new], [raw[s:e].decode("utf-8", "replace") for s, e in spans])
-        place = np.fromiter((self.index[k] for k in known), np.int64, len(known))
+            self._learn([known[k] for k in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), end[at].tolist())], plain[at])
+        place = np.array([self.index[k] for k in known], np.int64)
         starts, lengths = np.append(self.starts[place], self.used), np.append(self.lengths[place], 1)
         if self.used == len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used] = end_id
-        rows = np.diff(words.offsets)
-        token = np.insert(inverse.reshape(-1), words.offsets[1:], len(known))
+        token = np.insert(inverse.reshape(-1), offsets[1:], len(known))
         size = lengths[token]
         total = np.cumsum(size)
         ids = self.pool[np.repeat(starts[token] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
-        offsets = np.concatenate([[0], total[np.cumsum(rows + 1) - 1]])
-        return ids, offsets
+        return ids, np.concatenate([[0], total[np.cumsum(np.diff(offsets) + 1) - 1]])
 
 
 class Packer:
