@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,15 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The frame as a Parquet table in scratch, read again: its lineage ends there."""
     spark = df.sparkSession
-    path = path or f"{folder(spark)}/table"
+    path, schema = path or f"{folder(spark)}/table", df.schema
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    with contextlib.suppress(Exception):
+        spark._jvm.System.gc()
