@@ -1,12 +1,47 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: from documents to packed windows of token ids, in five stages.
+
+Each stage works on everything that its predecessor kept, and its result is
+written and read again before the next. Rows without an id pass all stages but
+packing's result names them null.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.scratch import folder
+from emberline.llm import decontamination, jaccard, packing, pii, quality
+from emberline.llm.queries import table
+from emberline.scratch import folder, release
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard.kept(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it are replaced."""
+    return pii.sanitise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts' token ids in windows."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [("quality", good), ("near duplicates", unique), ("decontamination", clean), ("personal data", private), ("packing", packed)]
 ORACLE_SQL = None
 
 
@@ -16,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{base}/{k}")
+            docs.write.mode("overwrite").parquet(f"{base}/{k}")
             docs = spark.read.parquet(f"{base}/{k}")
+            release(spark)
     return docs

@@ -171,8 +171,16 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
 
 
-def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    model = train(docs, labels, sample)
-    gone = score(docs, model).where("not keep").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            text = batch.schema.get_field_index("text")
+            keep = [(m.below(latent(m.weights, *features(block, bits))) < 0.5).all(axis=1) for block in blocks(batch.column(text))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lm, packing, pii, quality, repeats, topk, warc
+from . import chat, decontamination, jaccard, lm, packing, pii, quality, repeats, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_chat": op2_chat,
     "op3_repeats": op3_repeats,
     "op4_lm": op4_lm,
     "op5_pii": op5_pii,
