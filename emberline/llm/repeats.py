@@ -20,6 +20,10 @@ and later offsets of their suffixes:
    that of all the bytes they cover. The same three outcomes follow.
 3. What is left is refined by single strings.
 
+Ranges that repeat within one batch of a partition are told at once, and one of
+them goes on, so a passage that a third of all texts hold, or a line that one
+text repeats, is thinned before any shuffle.
+
 Each refinement is one shuffle by bucket, a sort by identifiers, and a pass in
 that order with one row of state, so a bucket of any size needs no memory.
 Texts that are equal are one (grouped by two 64-bit hashes, pre-aggregated
@@ -89,25 +93,44 @@ def anchors(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 def _packed(start: np.ndarray, n: np.ndarray, back: np.ndarray) -> np.ndarray:
     """A range: its first start, number of starts, and how far behind the first start the anchor is."""
-    return start << 16 | n << 8 | back
+    return start << 32 | n << 8 | back
 
 
 def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The anchors' ranges: done 0. Ranges that a batch already shows to be repeated: done 1, neighbours joined, dealt evenly; one of each such goes on as done 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["done", "bucket", "next", "h1", "h2", "place"]
         for batch in batches:
             ids = [np.asarray(batch.column(k)) for k in (0, 1)]
+            parts = []
             for block in blocks(batch.column(2)):
                 row, bucket, after, first, n, place = anchors(block, length, gram)
-                own = first - block.offsets[row]
-                of = block.first + row
-                yield pa.record_batch(_longs(bucket, after, ids[0][of], ids[1][of], _packed(own, n, place - first)), names=["bucket", "next", "h1", "h2", "place"])
-
-    return texts.select("h1", "h2", "text").mapInArrow(run, ROWS)
+                parts.append((block.first + row, bucket.view(np.int64), after.view(np.int64), first - block.offsets[row], n, place - first))
+            if not parts:
+                continue
+            of, bucket, after, start, n, back = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((after, bucket))
+            fresh = np.ones(len(of), bool)
+            fresh[1:] = (bucket[order][1:] != bucket[order][:-1]) | (after[order][1:] != after[order][:-1])
+            group = np.cumsum(fresh) - 1
+            known = np.zeros(len(of), bool)
+            known[order] = (np.bincount(group, minlength=1) > 1)[group] if len(of) else False
+            goes_on = np.sort(order[fresh])
+            yield pa.record_batch([pa.array(np.zeros(len(goes_on), np.int32)), *_longs(bucket[goes_on], after[goes_on], ids[0][of[goes_on]], ids[1][of[goes_on]], _packed(start, n, back)[goes_on])], names=names)
+            some = np.flatnonzero(known)
+            if len(some):
+                cut = np.flatnonzero(np.concatenate([[True], (of[some][1:] != of[some][:-1]) | (start[some][1:] != start[some][:-1] + n[some][:-1])]))
+                first, total = some[cut], np.add.reduceat(n[some], cut)
+                spread = mix(first.astype(U64) + ids[0][of[first]].view(U64)).view(np.int64)
+                yield pa.record_batch([pa.array(np.ones(len(cut), np.int32)), *_longs(spread, spread, ids[0][of[first]], ids[1][of[first]], _packed(start[first], total, np.zeros(len(cut), np.int64)))], names=names)
+
+    return texts.select("h1", "h2", "text").mapInArrow(run, f"done int, {ROWS}")
 
 
 def _refine(rows: DataFrame, schema: str, keep_nodes: bool = True) -> DataFrame:
     """kind 1: rows that share bucket and next with another. kind 0: one row of each next, in buckets that have several."""
-    names = [x.split()[0] for x in schema.split(", ")][1:]
+    names = [x.split()[0] for x in schema.split(", ") if not x.startswith(("bucket", "done"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, count, alone = None, 0, True  # the open run's first row, its rows so far, whether no other run of its bucket came before
@@ -122,7 +145,14 @@ def _refine(rows: DataFrame, schema: str, keep_nodes: bool = True) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            weight = np.ones(batch.num_rows, np.int64)
+            if "done" in table.column_names:
+                done = table.column("done").to_numpy() == 1
+                table = table.drop_columns(["done"])
+                yield from found(table, 1, np.flatnonzero(done))
+                table = table.take(pa.array(np.flatnonzero(~done)))
+                if not table.num_rows:
+                    continue
+            weight = np.ones(table.num_rows, np.int64)
             if carry is not None:
                 table = pa.concat_tables([carry, table])
                 weight = np.concatenate([[count], weight])
@@ -163,7 +193,7 @@ def _parts(texts: DataFrame, nodes: DataFrame, length: int, gram: int) -> DataFr
                 lo, hi = block.first, block.first + len(block)
                 some = all_places[ends[lo] : ends[hi]]
                 row = np.repeat(np.arange(len(block)), np.diff(ends[lo : hi + 1]))
-                start, n, back = (some >> 16) + block.offsets[row], some >> 8 & 255, some & 255
+                start, n, back = (some >> 32) + block.offsets[row], some >> 8 & 0xFFFFFF, some & 255
                 anchor = start + back
                 least, most = anchor - (start + n - 1), back  # distances from start to anchor
                 parts = most // PART - least // PART + 1
@@ -194,7 +224,7 @@ def _singles(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket, h1, h2, place = (np.asarray(batch.column(k)) for k in range(4))
-            start, n, back = place >> 16, place >> 8 & 255, place & 255
+            start, n, back = place >> 32, place >> 8 & 0xFFFFFF, place & 255
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             of = np.repeat(np.arange(len(n)), n)
             distance = back[of] - step
@@ -243,7 +273,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept:
                 some = all_places[ends[lo] : ends[hi]]
                 size = np.diff(block.offsets)
                 row = np.repeat(np.arange(len(block)), np.diff(ends[lo : hi + 1]))
-                gone = _covered(block, row, some >> 16, some >> 8 & 255, (copies[lo:hi] > 1) & (size >= length), length)
+                gone = _covered(block, row, some >> 32, some >> 8 & 0xFFFFFF, (copies[lo:hi] > 1) & (size >= length), length)
                 total = np.concatenate([[0], np.cumsum(gone)])
                 begins = gone.copy()
                 inside = np.ones(len(gone), bool)
