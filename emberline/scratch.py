@@ -38,6 +38,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The frame as a Parquet table in scratch, read again: its lineage ends there."""
     spark = df.sparkSession
     path, schema = path or f"{folder(spark)}/table", df.schema
+    release(spark)  # what the caller still held during the last call
     df.write.mode("overwrite").parquet(path)
     del df
     release(spark)
