@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-DETECTION = T._parse_datatype_string("struct<class_id:int,class_name:string,confidence:double,bbox:array<double>,severity:string>")
+_STRING, _DOUBLE, _LONG, _INT, _BOOLEAN = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType(), T.BooleanType()
+
+
+def row(*fields: tuple[str, T.DataType]) -> T.StructType:
+    """A row type of nullable fields; no session is needed to make it."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+DETECTION = row(("class_id", _INT), ("class_name", _STRING), ("confidence", _DOUBLE), ("bbox", T.ArrayType(_DOUBLE)), ("severity", _STRING))
 DETECTIONS = T.ArrayType(DETECTION)
 GATE = "struct<passed:boolean,reason:string>"
 PRINT_STATE = "struct<state:string,filename:string,elapsed_s:double,progress:double,fetched_at:double>"
-TICK = T._parse_datatype_string("tick long, timestamp double, p_raw double, gate_passed boolean, gate_reason string").add("detections", DETECTIONS)
-EVENT = T._parse_datatype_string(
-    "timestamp double, action string, state string, score double, p_raw double, votes int, reason string, class_name string, confidence double, frame_path string, print_filename string, elapsed_s double"
-).add("detections", DETECTIONS)
-MANIFEST = T._parse_datatype_string("output string, split string, source string, source_path string, group string, content_sha256 string, dhash string, n_boxes int")
+TICK = row(("tick", _LONG), ("timestamp", _DOUBLE), ("p_raw", _DOUBLE), ("gate_passed", _BOOLEAN), ("gate_reason", _STRING), ("detections", DETECTIONS))
+EVENT = row(
+    ("timestamp", _DOUBLE), ("action", _STRING), ("state", _STRING), ("score", _DOUBLE), ("p_raw", _DOUBLE), ("votes", _INT), ("reason", _STRING), ("class_name", _STRING),
+    ("confidence", _DOUBLE), ("frame_path", _STRING), ("print_filename", _STRING), ("elapsed_s", _DOUBLE), ("detections", DETECTIONS),
+)
+MANIFEST = row(*[(n, _STRING) for n in ("output", "split", "source", "source_path", "group", "content_sha256", "dhash")], ("n_boxes", _INT))
 FRAME = "struct<image:struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>,ts:timestamp,seq:long>"
 #: States of the decision operator, printer states, actions and severities: fixed values.
 DECISION_STATES = ("idle", "armed", "warning", "triggered", "cooldown")
