@@ -11,12 +11,12 @@ from its suffix's, times its count, reaches GAIN nats. A token is scored at the
 longest suffix of what precedes it that is a state.
 
 Size: what a context shows explicitly are the (context, next) pairs that make
-up at least RATE of all N training tokens, so each order has at most 1 / RATE
+up at least RATE of all N training tokens and at least LEAST, so each order has at most 1 / RATE
 of them, whatever the corpus; likewise the words whose counts are looked up in
 memory. These are broadcast; their size is bounded by RATE alone. They are found
-exactly in two scans: no shard of SHARD tokens can hide one from a scan that
-reports what makes up RATE / 2 of a shard, at most 2 / RATE candidates pass the
-sum of reports, and a second scan counts those. All other words (the tail) are
+exactly in two scans: the first reports what makes up RATE / 2 of a partition,
+so what it leaves out adds up to less than RATE / 2; at most 2 / RATE candidates
+pass the sum of reports, and the second scan counts those. All other words (the tail) are
 counted exactly by a shuffle of (word, document, count) rows; since tail words
 are rare by definition no key of it is hot.
 
@@ -41,7 +41,8 @@ from ..scratch import folder, written
 from ._bytes import U64, Block, blocks, mix
 
 RATE = 2e-6
-SHARD = 4_000_000
+SHARD = 3_000_000
+LEAST = 4
 DISCOUNT = 0.5
 GAIN = 12.0
 ALPHA = 0.1
@@ -75,86 +76,79 @@ def _train(ids: pa.Array) -> np.ndarray:
     return np.fromiter((zlib.crc32(str(i).encode()) % 10 != 0 for i in ids.to_pylist()), bool, len(ids))
 
 
-def _rows(batches, only_training: bool) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+def _rows(batches, only_training: bool) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
     for batch in batches:
         if only_training:
             batch = batch.filter(pa.array(_train(batch.column(0))))
         for block in blocks(batch.column(1)):
-            yield *tokens(block), batch.column(0).slice(block.first, len(block)), None
-
-
-class Counter:
-    """Exact counts of 64-bit keys, kept sorted, with one companion value for each."""
-
-    def __init__(self):
-        self.parts, self.held = [], 0
-
-    def add(self, keys: np.ndarray, value: np.ndarray, other: np.ndarray) -> None:
-        if len(keys):
-            key, first, count = np.unique(keys, return_index=True, return_counts=True)
-            self.parts.append((key, value[first], other[first], count))
-
-    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
-        key, value, other, count = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first], value[order][first], other[order][first], np.add.reduceat(count[order], first)
+            yield *tokens(block), batch.column(0).slice(block.first, len(block))
 
 
 def _reported(docs: DataFrame, rate: float) -> DataFrame:
-    """Per training shard: what makes up half the rate of its tokens (level 0: words; 1, 2: pairs with a context), and its size (level -1)."""
+    """Per partition: what makes up half the rate of its training tokens (level 0: words; 1, 2: pairs with a context), and their number (level -1).
+
+    Every SHARD tokens, what came once since goes; the least count allows for one of each such.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, n = [Counter() for _ in range(3)], 0
-
-        def report() -> Iterator[pa.RecordBatch]:
-            least = max(1.0, rate / 2 * n)
-            rows = [(np.array([-1]), np.zeros(1, U64), np.zeros(1, U64), np.zeros(1, U64), np.array([n]))]
-            for level, counter in enumerate(counters):
-                key, value, other, count = counter.result()
-                keep = count >= least
-                rows.append((np.full(keep.sum(), level), key[keep], value[keep], other[keep], count[keep]))
-            level, key, value, other, count = (np.concatenate(x) for x in zip(*rows))
-            longs = [pa.array(x.view(np.int64)) for x in (key, value, other)]
-            yield pa.record_batch([pa.array(level.astype(np.int32)), *longs, pa.array(count.astype(np.int64))], names=["level", "key", "context", "token", "count"])
-
-        for h, offsets, _, _ in _rows(batches, True):
+        fresh: list[list[np.ndarray]] = [[], [], []]
+        kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+        n, since, thinned = 0, 0, 0
+
+        def told(level: np.ndarray, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(level.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["level", "key", "count"])
+
+        def compact(least: int) -> None:
+            for level in range(3):
+                if fresh[level]:
+                    key, count = np.unique(np.concatenate(fresh[level]), return_counts=True)
+                    fresh[level] = []
+                    often = count >= least
+                    kept[level].append((key[often], count[often]))
+
+        for h, offsets, _ in _rows(batches, True):
             one, two, has_one, has_two = contexts(h, offsets)
-            counters[0].add(h, h, h)
-            k = pair(one, h)
-            counters[1].add(k[has_one], one[has_one], h[has_one])
-            k = pair(two, h)
-            counters[2].add(k[has_two], two[has_two], h[has_two])
-            n += len(h)
-            if n >= SHARD:
-                yield from report()
-                counters, n = [Counter() for _ in range(3)], 0
+            for level, keys in enumerate((h, pair(one, h)[has_one], pair(two, h)[has_two])):
+                fresh[level].append(keys)
+            n, since = n + len(h), since + len(h)
+            if since >= SHARD:
+                compact(2)
+                since, thinned = 0, thinned + 1
         if n:
-            yield from report()
+            compact(1)
+            least = max(1.0, rate / 2 * n - thinned)
+            yield told(np.array([-1]), np.zeros(1, U64), np.array([n]))
+            for level in range(3):
+                key, of = np.unique(np.concatenate([k for k, _ in kept[level]]), return_inverse=True)
+                count = np.bincount(of.reshape(-1), weights=np.concatenate([c for _, c in kept[level]]), minlength=len(key)).astype(np.int64)
+                often = count >= least
+                yield told(np.full(often.sum(), level), key[often], count[often])
 
-    return docs.mapInArrow(run, "level int, key long, context long, token long, count long")
+    return docs.mapInArrow(run, "level int, key long, count long")
 
 
 def _counted(docs: DataFrame, keys: list[np.ndarray]) -> DataFrame:
-    """Exact training counts of the candidate keys of each level: level, key, count."""
+    """Exact training counts of the candidate keys of each level, with their contexts and tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         totals = [np.zeros(len(k), np.int64) for k in wanted]
-        for h, offsets, _, _ in _rows(batches, True):
+        sides = [(np.zeros(len(k), U64), np.zeros(len(k), U64)) for k in wanted]
+        for h, offsets, _ in _rows(batches, True):
             one, two, has_one, has_two = contexts(h, offsets)
-            for level, found in enumerate((h, pair(one, h)[has_one], pair(two, h)[has_two])):
-                at, hit = _find(wanted[level], found)
-                totals[level] += np.bincount(at[hit], minlength=len(wanted[level]))
+            for level, (context, token) in enumerate(((h, h), (one[has_one], h[has_one]), (two[has_two], h[has_two]))):
+                at, hit = _find(wanted[level], pair(context, token) if level else token)
+                at = at[hit]
+                totals[level] += np.bincount(at, minlength=len(wanted[level]))
+                sides[level][0][at], sides[level][1][at] = context[hit], token[hit]
         for level, total in enumerate(totals):
             some = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(np.full(len(some), level, np.int32)), pa.array(wanted[level][some].view(np.int64)), pa.array(total[some])], names=["level", "key", "count"])
+            longs = [pa.array(x[some].view(np.int64)) for x in (wanted[level], *sides[level])]
+            yield pa.record_batch([pa.array(np.full(len(some), level, np.int32)), *longs, pa.array(total[some])], names=["level", "key", "context", "token", "count"])
 
-    return docs.mapInArrow(run, "level int, key long, count long").groupBy("level", "key").agg(F.sum("count").alias("count"))
+    counted = docs.mapInArrow(run, "level int, key long, context long, token long, count long")
+    return counted.groupBy("level", "key").agg(F.sum("count").alias("count"), F.first("context").alias("context"), F.first("token").alias("token"))
 
 
 def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,24 +214,16 @@ def learn(docs: DataFrame, rate: float = RATE) -> tuple[Tree, np.ndarray]:
     spark = docs.sparkSession
     reported = written(_reported(docs, rate), f"{folder(spark)}/reported")
     n = reported.where("level = -1").agg(F.sum("count")).first()[0] or 0
-    sums = reported.where("level >= 0").groupBy("level", "key").agg(F.sum("count").alias("count"), F.first("context").alias("context"), F.first("token").alias("token"))
-    some = sums.where(F.col("count") >= rate / 2 * n).select("level", "key", "context", "token").toPandas()
+    sums = reported.where("level >= 0").groupBy("level", "key").agg(F.sum("count").alias("count"))
+    some = sums.where(F.col("count") >= max(LEAST, rate * n) / 2).select("level", "key").toPandas()
     as_keys = lambda x: x.to_numpy(dtype=np.int64).view(U64)
-    wanted = []
-    for level in range(3):
-        part = some[some["level"] == level]
-        key = as_keys(part["key"])
-        order = np.argsort(key)
-        wanted.append((key[order], as_keys(part["context"])[order], as_keys(part["token"])[order]))
-    exact = _counted(docs, [w[0] for w in wanted]).where(F.col("count") >= rate * n).toPandas()
+    wanted = [np.sort(as_keys(some[some["level"] == level]["key"])) for level in range(3)]
+    exact = _counted(docs, wanted).where(F.col("count") >= max(LEAST, rate * n)).toPandas()
     found = []
-    for level, (key, context, token) in enumerate(wanted):
+    for level in range(3):
         part = exact[exact["level"] == level]
-        k = as_keys(part["key"])
-        order = np.argsort(k)
-        k, count = k[order], part["count"].to_numpy(dtype=np.int64)[order]
-        at, _ = _find(key, k)
-        found.append((k, context[at] if len(k) else k, token[at] if len(k) else k, count))
+        order = np.argsort(as_keys(part["key"]))
+        found.append((*(as_keys(part[x])[order] for x in ("key", "context", "token")), part["count"].to_numpy(dtype=np.int64)[order]))
     return Tree(int(n), 0, (found[0][0], found[0][3]), found[1:]), found
 
 
@@ -248,7 +234,7 @@ def _scored(docs: DataFrame, tree: Tree) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         size = t.n + ALPHA * (t.v + 1)
-        for h, offsets, ids, _ in _rows(batches, False):
+        for h, offsets, ids in _rows(batches, False):
             one, two, has_one, has_two = contexts(h, offsets)
             at, known = _find(t.words, h)
             root = np.where(known, (t.counts[at] if len(t.counts) else 0) + ALPHA, 0.0)
