@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def array_of(image) -> np.ndarray:
@@ -120,7 +121,10 @@ def augmented(images: np.ndarray, seed: int, crop: int) -> np.ndarray:
     return np.clip(np.rint((out - mean) * gain + mean + shift), 0, 255).astype(np.uint8)
 
 
-@F.pandas_udf("luma double, blur double, phash long")
+MEASURES = T.StructType([T.StructField("luma", T.DoubleType()), T.StructField("blur", T.DoubleType()), T.StructField("phash", T.LongType())])
+
+
+@F.pandas_udf(MEASURES)
 def measures(image: pd.DataFrame) -> pd.DataFrame:
     """Luma, blur and difference hash of each image, decoded once."""
     found = [array_of(r) for r in image.to_dict("records")]

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import labels as label_text
 from ..functions import names
 from ..schemas import EVENT, MANIFEST, TICK
+from ..scratch import written
 
 IMAGES = (".jpg", ".jpeg", ".png")
 CORRUPT = "_corrupt_record"
@@ -250,7 +251,7 @@ def to_prune(files: DataFrame, now: datetime, days: float, most: int, mtime: str
 def prune(spark: SparkSession, root: str, now: datetime, days: float, most: int) -> int:
     """Delete what to_prune names; the number that went. Files that can't be deleted count as kept."""
     gone = 0
-    for row in to_prune(listing(spark, root, recursive=False), now, days, most).toLocalIterator():
+    for row in written(to_prune(listing(spark, root, recursive=False), now, days, most)).toLocalIterator():  # what goes is settled before any file does
         path = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False))
     return gone
