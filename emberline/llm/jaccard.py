@@ -10,26 +10,36 @@ link when 100 * intersection >= 75 * union.
    (XORs) a pattern in its lane; a lane's word is the parity of what it holds.
    The number of lanes in which two sketches differ is a Hamming distance that
    never exceeds the symmetric difference of the sets, which for linked sets is
-   at most n // 3 with n the size of either. By the pigeonhole principle two
-   linked classes agree in all but n // 3 of the lanes that either fills; taking
-   filled lanes in one order for all, each class need only show its first
-   n // 3 + 1, and linked ones still meet in one (prefix filter). Lanes that
-   hold nothing but shingles that are frequent in a sample come last in that
-   order, so a passage that many documents share isn't where they meet. The
-   order decides cost only, never results.
+   at most h = n // 3 with n the size of either. By the pigeonhole principle two
+   linked classes agree in all but h of the lanes that either fills. Taking
+   filled lanes in one order for all, each class shows its first h + k, with
+   k = 1 + n // 10, and linked classes meet in at least k of them (prefix
+   filter). Lanes that hold nothing but shingles that are frequent in a sample
+   come last in that order, so a passage that many documents share isn't where
+   they meet. The order decides cost only, never results.
    Size bands: a class of n shingles has the number of lanes of its band (sizes
    within a factor of 8) and, where a linked set may be in the next band, that
-   band's too. A class that fills n // 3 lanes or fewer shows all of them and
-   a plain prefix of its shingles, where two such classes meet.
-3. Shown lanes are dealt by hash as packed blobs, and classes that agree in one
-   are candidates: all pairs where at most SMALL agree, a star around the
-   smallest otherwise (a partition that sees more than LOCAL of a lane sends a
-   star of its own, so that a frequent lane is thinned before the shuffle).
-4. Candidates pass if sizes and a second sketch of 1024 one-bit lanes (whose
-   Hamming distance is again a lower bound) allow, and are verified by their texts' sets.
-5. Stars: where a large group isn't one component after that, every pair of it
-   from different components is compared, by blocks of BLOCK members, by sizes
-   and bit sketches, and those that pass are verified. So no link between components is lost.
+   band's too. A weak class, which fills fewer than h + k lanes, shows all; one
+   that fills h or fewer shows a plain prefix of its shingles as well, where two
+   such classes meet.
+3. Shown lanes are dealt by hash as packed blobs. Classes that agree in one are a
+   group; a group is known by a signature of its members, so that one group
+   that agrees in many lanes is told once. A partition that sees more than LOCAL
+   classes of a lane tells that group itself and passes one member on, so that
+   a frequent lane is thinned before the shuffle.
+4. A class that meets others in fewer lanes than k for the smallest set it
+   could link to, and never a weak class, links with nothing. Of the rest, each
+   group's candidates are a star around its smallest class. They pass if sizes
+   and a second sketch of 1024 one-bit lanes (whose Hamming distance is again a
+   lower bound) allow, and are verified by their texts' sets: first each class
+   with the hub it meets most often, then, of the rest, the pairs that aren't in
+   one component by then.
+5. Where a group isn't one component after that, every pair of it from different
+   components is compared, by blocks of BLOCK members, by sizes and bit
+   sketches: first, each component's nearest such pair of a block is verified and
+   components grow (ROUNDS times); then all that pass, and that meet in k lanes of all
+   groups together, are verified. So no link between components is lost, and no group is expanded
+   into all its pairs.
 
 Shingles are 64-bit hashes, classes 128-bit ones (set and size).
 
@@ -53,11 +63,14 @@ from ._bytes import U64, Words, blocks, mix, shingles
 
 WIDTH = 5
 PERCENT = 75
-SMALL, LOCAL, BLOCK = 16, 64, 1024
+LOCAL, BLOCK, SMALL = 64, 1024, 16
+CELL_ROWS = 20_000
+WEAK = 1 << 40
 BAND = 8
 SKETCH = 1024
-FLUSH = 1_500_000
+FLUSH = 400_000
 BUCKET_ROWS = 400_000
+ROUNDS = 1
 SAMPLE = 4096
 FREQUENT = 0.002
 SETS = "doc_id long, n long, c long, c2 long, sketch binary"
@@ -75,13 +88,17 @@ def class_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(_sums(mix(values.copy()), offsets) + n), mix(_sums(mix(values ^ U64(0x5BD1E9955BD1E995)), offsets) ^ n)
 
 
-def bit_sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One-bit lanes: each row's 1024 parities, as 16 words."""
-    rows = len(offsets) - 1
-    lane = (values >> U64(20)) % U64(SKETCH)
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    odd = np.bincount(row * SKETCH + lane.astype(np.int64), minlength=rows * SKETCH).reshape(rows, SKETCH) & 1 if rows else np.zeros((0, SKETCH), int)
-    return np.packbits(odd.astype(np.uint8), axis=1).view(U64)
+def bit_sketches(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """One-bit lanes: each row's 1024 parities, as bytes; so many rows at a time that counts stay small."""
+    out: list[bytes] = []
+    for at in range(0, len(offsets) - 1, SKETCH):
+        some = offsets[at : at + SKETCH + 1]
+        rows = len(some) - 1
+        lane = (values[some[0] : some[-1]] >> U64(20)) % U64(SKETCH)
+        row = np.repeat(np.arange(rows), np.diff(some))
+        odd = np.bincount(row * SKETCH + lane.astype(np.int64), minlength=rows * SKETCH).reshape(rows, SKETCH) & 1
+        out += [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
+    return out
 
 
 def _bands(n: np.ndarray) -> np.ndarray:
@@ -89,15 +106,20 @@ def _bands(n: np.ndarray) -> np.ndarray:
     return (np.log2(np.maximum(n, 1)) / 3 + 1e-12).astype(np.int64)
 
 
-def shown(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that each row shows, and the row of each."""
+def met_at_least(n):
+    """In how many shown lanes a set of this size meets a linked one that isn't smaller."""
+    return 1 + n // 10
+
+
+def shown(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that each row shows, the row of each, and whether that row is weak."""
     n = np.diff(offsets)
     rows = np.arange(len(n))
     band = _bands(n)
     top = BAND ** (band + 1)
     twice = (n > 0) & (100 * n >= PERCENT * top)
     common = np.isin(values, frequent) if len(frequent) else np.zeros(len(values), bool)
-    keys, owners = [], []
+    keys, owners, weak = [], [], []
     for which, step in ((rows[n > 0], 0), (rows[twice], 1)):
         if not len(which):
             continue
@@ -106,7 +128,7 @@ def shown(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tupl
         at = np.repeat(offsets[which] - (total - size), size) + np.arange(total[-1])
         row = np.repeat(which, size)
         scheme = band[row] + step
-        lanes = (BAND ** (scheme + 1) // 2).astype(U64)
+        lanes = (BAND ** (scheme + 1)).astype(U64)
         v = values[at]
         lane = (v >> U64(7)) % lanes
         order = np.lexsort((lane, row))
@@ -120,9 +142,11 @@ def shown(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tupl
         row, key = row[order], key[order]
         filled = np.bincount(row, minlength=len(n))
         rank = np.arange(len(row)) - (np.cumsum(filled) - filled)[row]
-        keep = rank <= n[row] // 3
+        wanted = n // 3 + met_at_least(n)
+        keep = rank < wanted[row]
         keys.append(key[keep])
         owners.append(row[keep])
+        weak.append((filled < wanted)[row[keep]])
         few = (filled <= n // 3) & (filled > 0)
         if few.any():
             row = np.repeat(rows, n)
@@ -135,9 +159,10 @@ def shown(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tupl
             keep = rank <= n[row] - (PERCENT * n[row] + 99) // 100
             keys.append(mix(v[keep] ^ U64(0xA54FF53A5F1D36F1)))
             owners.append(row[keep])
+            weak.append(np.ones(int(keep.sum()), bool))
     if not keys:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(weak)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -154,7 +179,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 c, c2 = class_ids(values, offsets)
                 bits = bit_sketches(values, offsets)
                 yield pa.record_batch(
-                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(offsets)), _long(c), _long(c2), pa.array([x.tobytes() for x in bits], pa.binary())],
+                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(offsets)), _long(c), _long(c2), pa.array(bits, pa.binary())],
                     names=["doc_id", "n", "c", "c2", "sketch"],
                 )
 
@@ -181,72 +206,71 @@ def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, share: float = FREQ
     return np.unique(rows["h"].to_numpy(dtype=np.int64).view(U64))
 
 
-def _pairs(keys: np.ndarray, classes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (key, class) rows: candidate pairs a < b, the (key, class) rows of groups over most, and each such group's first row."""
+def _groups(keys: np.ndarray, classes: np.ndarray, weak: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (key, class) rows: signature, class and number of lanes of each group of two or more, each once. Hot keys are signatures, and their groups may be of one."""
     order = np.lexsort((classes, keys))
-    keys, classes = keys[order], classes[order]
+    keys, classes, weak = keys[order], classes[order], weak[order]
     if len(keys):
         keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])])
-        keys, classes = keys[keep], classes[keep]
+        keys, classes, weak = keys[keep], classes[keep], weak[keep]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(keys)))
-    a, b = [], []
-    for g in np.unique(size[(size > 1) & (size <= most)]):
-        at = first[size == g]
-        i, j = np.triu_indices(g, 1)
-        a.append(classes[at[:, None] + i].ravel())
-        b.append(classes[at[:, None] + j].ravel())
-    large = size > most
-    at = np.repeat(first[large], size[large])
-    member = np.zeros(len(keys), bool)
-    member[np.repeat(first[large], size[large]) + _counting(size[large])] = True
-    rows = np.flatnonzero(member)
-    star = rows != at
-    a.append(classes[at[star]])
-    b.append(classes[rows[star]])
-    return np.concatenate(a), np.concatenate(b), keys[rows], classes[rows], ~star
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(classes.view(U64).copy()))])
+    signature = mix(total[first + size] - total[first] + size.astype(U64))
+    own = np.isin(keys[first], hot)
+    signature[own] = keys[first][own]
+    frail = np.concatenate([[0], np.cumsum(weak)])
+    lanes = np.where(frail[first + size] > frail[first], WEAK, 1)
+    large = np.flatnonzero((size > 1) | own)
+    which, at, of = np.unique(signature[large], return_index=True, return_inverse=True)
+    times = np.bincount(of.reshape(-1), weights=lanes[large], minlength=len(which)).astype(np.int64)
+    large = large[at]
+    member = np.repeat(first[large], size[large]) + _counting(size[large])
+    return np.repeat(which, size[large]).view(np.int64), classes[member], np.repeat(times, size[large])
 
 
 def _counting(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair once."""
-    pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    return pair[0], pair[1]
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, and how often it came."""
+    if not len(a):
+        return a, b, np.zeros(0, np.int64)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.diff(np.append(first, len(a)))
 
 
-def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """kind 1: candidate classes (a, b). kind 2: class b shows lane a, which many show."""
+def groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """k (a group), c (a class of it) and lanes (in how many it agrees; WEAK and more where a weak class does)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, classes, held = [], [], 0
+        parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            k, c = np.concatenate(keys), np.concatenate(classes)
+            k, c, w = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((c, k))
-            k, c = k[order], c[order]
+            k, c, w = k[order], c[order], w[order]
             first = np.concatenate([[True], k[1:] != k[:-1]])
             group = np.cumsum(first) - 1
-            size = np.bincount(group)
-            hot = size[group] > LOCAL
-            star_k, star_c, hub = k[hot], c[hot], c[np.flatnonzero(first)][group][hot]
+            hot = (np.bincount(group) > LOCAL)[group]
+            told = k[hot], c[hot], w[hot]
             thin = ~hot | first
-            k, c = k[thin], c[thin]
-            bucket = (k % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            k, c, bucket = k[order], c[order], bucket[order]
-            hot_bucket = (star_k % U64(buckets)).astype(np.int64)
+            k, c, w = k[thin], c[thin], w[thin]
+            of, told_of = ((x % U64(buckets)).astype(np.int64) for x in (k, told[0]))
+            order = np.argsort(of, kind="stable")
+            k, c, w, of = k[order], c[order], w[order], of[order]
             rows = []
-            for q in np.unique(np.concatenate([bucket, hot_bucket])):
-                lo, hi = np.searchsorted(bucket, [q, q + 1])
-                h = hot_bucket == q if len(hot_bucket) else np.zeros(0, bool)
-                rows.append((int(q), k[lo:hi].tobytes(), c[lo:hi].tobytes(), star_k[h].tobytes(), star_c[h].tobytes(), hub[h].tobytes()))
-            types = [pa.int64()] + [pa.binary()] * 5
-            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["bucket", "k", "c", "sk", "sc", "sh"])
+            for q in np.unique(np.concatenate([of, told_of])):
+                lo, hi = np.searchsorted(of, [q, q + 1])
+                mine = told_of == q
+                rows.append((int(q), *(x[lo:hi].tobytes() for x in (k, c, w)), *(x[mine].tobytes() for x in told)))
+            types = [pa.int64()] + [pa.binary()] * 6
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["bucket", "k", "c", "w", "hk", "hc", "hw"])
 
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -259,52 +283,64 @@ def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame
                         new[i] = True
                 size = np.diff(offsets)
                 values = values[np.repeat(new, size)]
-                offsets = np.concatenate([[0], np.cumsum(np.where(new, size, 0))])
-                k, row = shown(values, offsets, shared.value)
-                keys.append(k)
-                classes.append(ids[row])
+                k, row, w = shown(values, np.concatenate([[0], np.cumsum(np.where(new, size, 0))]), shared.value)
+                parts.append((k, ids[row], w))
                 held += len(k)
                 if held >= FLUSH:
                     yield flush()
-                    keys, classes, held = [], [], 0
+                    parts, held = [], 0
         if held:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
         join = lambda name, t: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=t)
-        sk, sc, sh = join("sk", U64), join("sc", np.int64), join("sh", np.int64)
-        a, b, k, c, _ = _pairs(join("k", U64), join("c", np.int64), SMALL)
-        a, b = np.concatenate([a, np.minimum(sc, sh)[sc != sh]]), np.concatenate([b, np.maximum(sc, sh)[sc != sh]])
-        a, b = _apart(a, b)
-        mk, mc = _apart(np.concatenate([k, sk]).view(np.int64), np.concatenate([c, sc]))
-        return pa.table({"kind": pa.array(np.repeat([1, 2], [len(a), len(mk)]).astype(np.int32)), "a": pa.array(np.concatenate([a, mk])), "b": pa.array(np.concatenate([b, mc]))})
+        hot, members, weak = join("hk", U64), join("hc", np.int64), join("hw", bool)
+        k, c, lanes = _groups(join("k", U64), join("c", np.int64), join("w", bool), np.unique(hot))
+        k, c, lanes = np.concatenate([k, hot.view(np.int64)]), np.concatenate([c, members]), np.concatenate([lanes, np.where(weak, WEAK, 1)])
+        return pa.table({"k": pa.array(k), "c": pa.array(c), "lanes": pa.array(lanes, pa.int64())})
+
+    blobs = docs.mapInArrow(emit, "bucket long, k binary, c binary, w binary, hk binary, hc binary, hw binary")
+    return blobs.groupBy("bucket").applyInArrow(meet, "k long, c long, lanes long").groupBy("k", "c").agg(F.sum("lanes").alias("lanes"))
+
 
-    blobs = docs.mapInArrow(emit, "bucket long, k binary, c binary, sk binary, sc binary, sh binary")
-    return blobs.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
+def _promising(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The groups' classes that meet others often enough to link with any."""
+    least = F.lit(1) + F.floor(F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100)) / F.lit(10))
+    often = found.groupBy("c").agg(F.sum("lanes").alias("all")).join(classes.select("c", "n"), "c").where(F.col("all") >= least).select("c")
+    return found.join(often, "c").select("k", "c", "lanes")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """a < b and met: each class with the smallest of each of its groups."""
+    hubs = members.groupBy("k").agg(F.min("c").alias("a"))
+    return members.join(hubs, "k").where(F.col("a") != F.col("c")).groupBy("a", F.col("c").alias("b")).agg(F.sum("lanes").alias("met"))
 
 
 def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that sizes and bit sketches allow, with the documents that stand for them."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("rep").alias(f"r{x}"))
+    """The pairs (a, b) that sizes and bit sketches allow."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     n_a, n_b = F.col("na"), F.col("nb")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), U64).reshape(-1, SKETCH // 64) for k in (4, 5)]
+                bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), U64).reshape(-1, SKETCH // 64) for k in (2, 3)]
                 apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-                total = np.asarray(batch.column(6))
+                total = np.asarray(batch.column(4))
                 keep = (100 + PERCENT) * apart <= (100 - PERCENT) * total
-                yield pa.record_batch([batch.column(k).filter(pa.array(keep)) for k in range(4)], names=["a", "b", "ra", "rb"])
+                yield pa.record_batch([batch.column(k).filter(pa.array(keep)) for k in range(2)], names=["a", "b"])
+
+    return joined.select("a", "b", "sa", "sb", (n_a + n_b).alias("total")).mapInArrow(run, "a long, b long")
 
-    return joined.select("a", "b", "ra", "rb", "sa", "sb", (n_a + n_b).alias("total")).mapInArrow(run, "a long, b long, ra long, rb long")
 
+def _texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """c and text of each of the classes (c, rep)."""
+    return docs.join(classes.select("c", F.col("rep").alias("doc_id")), "doc_id").select("c", "text")
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs whose documents' sets link."""
-    wanted = pairs.select(F.col("a").alias("c"), F.col("ra").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("c"), F.col("rb").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id").select("c", "text").repartition("c")
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs whose texts' sets link."""
     side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"t{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
@@ -331,32 +367,79 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs from different components of groups that a star stood for, as sizes and bit sketches allow."""
-    known = members.join(labels, members["c"] == labels["node"], "left").select("k", "c", F.coalesce("component", "c").alias("component"))
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one component."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _couples(gid: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of each cell, some at a time: all of a block's members with each other, or those of two blocks across. Rows are sorted by cell."""
+    first = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+    size = np.diff(np.append(first, len(gid)))
+    small = (size <= SMALL) & (i[first] == j[first])
+    for g in np.unique(size[small & (size > 1)]):
+        x, y = np.triu_indices(g, 1)
+        at = first[small & (size == g)]
+        step = max(1, 200_000 // len(x))
+        for k in range(0, len(at), step):
+            yield (at[k : k + step, None] + x).ravel(), (at[k : k + step, None] + y).ravel()
+    for f, g in zip(first[~small], size[~small]):
+        rows = np.arange(f, f + g)
+        left, right = rows[own[rows] == i[f]], rows[own[rows] == j[f]]
+        for k in range(0, len(left), 128):
+            x, y = np.repeat(left[k : k + 128], len(right)), np.tile(right, len(left[k : k + 128]))
+            keep = (x < y) | (i[f] != j[f])
+            yield x[keep], y[keep]
+
+
+def _unresolved(members: DataFrame, labels: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs from different components within a group, as sizes and bit sketches allow, that meet in as many lanes as linked ones must.
+
+    nearest: of each component in a block, only the pair that differs in the fewest bits.
+    """
+    known = members.join(labels, members["c"] == labels["node"], "left").select("k", "c", "lanes", F.coalesce("component", "c").alias("component"))
     open_groups = known.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("g")).where(F.col("lo") != F.col("hi"))
     cells = F.ceil(F.col("g") / F.lit(BLOCK)).cast("int")
     dealt = known.join(open_groups.select("k", cells.alias("cells")), "k").join(classes.select("c", "n", "sketch"), "c").withColumn("own", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component", "n", "sketch")
+    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component", "n", "lanes", "sketch")
+    buckets = max(16, members.count() // CELL_ROWS)
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, c, component, n = (table.column(x).to_numpy() for x in ("own", "c", "component", "n"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(-1, SKETCH // 64)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[component[right] != component[x]]
-            y = y[100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])]
-            apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            y = y[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[x] + n[y])]
-            a.append(np.minimum(c[x], c[y]))
-            b.append(np.maximum(c[x], c[y]))
-        a, b = _apart(np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        k, i, j, own, c, component, n, lanes = (table.column(x).to_numpy() for x in ("k", "i", "j", "own", "c", "component", "n", "lanes"))
+        order = np.lexsort((c, j, i, k))
+        k, i, j, own, c, component, n, lanes = (x[order] for x in (k, i, j, own, c, component, n, lanes))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(-1, SKETCH // 64)[order]
+        gid = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        found = []
+        for x, y in _couples(gid, own, i, j):
+            keep = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+            x, y = x[keep], y[keep]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            keep = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[x] + n[y])
+            found.append((x[keep], y[keep], apart[keep]))
+        x, y, apart = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        a, b = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+        if nearest and len(x):
+            pair, side = np.tile(np.arange(len(x)), 2), np.concatenate([component[x], component[y]])
+            order = np.lexsort((b[pair], a[pair], apart[pair], side, gid[x][pair]))
+            of, who = gid[x][pair][order], side[order]
+            best = np.unique(pair[order[np.concatenate([[True], (of[1:] != of[:-1]) | (who[1:] != who[:-1])])]])
+            x, y, a, b = x[best], y[best], a[best], b[best]
+        columns = (a, b, np.minimum(lanes[x], lanes[y]), met_at_least(np.minimum(n[x], n[y])))
+        if len(a):  # one row for each pair
+            order = np.lexsort((b, a))
+            a, b, met, least = (z[order] for z in columns)
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            columns = (a[first], b[first], np.add.reduceat(met, first), least[first])
+        return pa.table({name: pa.array(z, pa.int64()) for name, z in zip(("a", "b", "met", "least"), columns)})
+
+    found = dealt.groupBy(F.pmod(F.xxhash64("k", "i", "j"), F.lit(buckets)).alias("bucket")).applyInArrow(compare, "a long, b long, met long, least long")
+    if nearest:
+        return found.select("a", "b").distinct()
+    return found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where(F.col("met") >= F.col("least")).select("a", "b")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -367,16 +450,25 @@ def link(docs: DataFrame) -> DataFrame:
     full = own.where("n > 0")
     classes = written(full.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), f"{base}/classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, int(total / 2.6 / BUCKET_ROWS))
-    found = written(candidates(docs, frequent_shingles(docs), buckets), f"{base}/candidates")
-    pairs = written(_sifted(found.where("kind = 1").select("a", "b").distinct(), classes), f"{base}/pairs")
-    links = written(_verified(pairs, docs), f"{base}/links")
-    members = found.where("kind = 2").select(F.col("a").alias("k"), F.col("b").alias("c")).distinct()
+    buckets = max(16, int(total / 2 / BUCKET_ROWS))
+    found = written(groups(docs, frequent_shingles(docs), buckets), f"{base}/groups")
+    members = written(_promising(found, classes), f"{base}/members")
+    stars = written(_stars(members), f"{base}/stars")
+    texts = written(_texts(classes.join(members.select("c").distinct(), "c"), docs), f"{base}/texts")
+    most = stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    links = written(_verified(_sifted(most, classes), texts), f"{base}/links")
+    labels = components(links, "a", "b")
+    rest = _between(stars.select("a", "b").join(most, ["a", "b"], "left_anti"), labels)
+    links = written(links.unionByName(_verified(_sifted(rest, classes), texts)), f"{base}/rest")
     labels = components(links, "a", "b")
-    if members.limit(1).count():
-        more = written(_sifted(_unresolved(members, labels, classes).join(links, ["a", "b"], "left_anti"), classes), f"{base}/more")
-        if more.limit(1).count():
-            labels = components(links.unionByName(_verified(more, docs)), "a", "b")
+    for k in range(ROUNDS + 1):
+        more = written(_unresolved(members, labels, classes, nearest=k < ROUNDS).join(links, ["a", "b"], "left_anti"), f"{base}/more{k}")
+        if not more.limit(1).count():
+            break
+        found = written(_verified(more, texts), f"{base}/found{k}")
+        if found.limit(1).count():
+            links = written(links.unionByName(found), f"{base}/links{k}")
+            labels = components(links, "a", "b")
     reps = classes.select("c", "c2", "n", "rep").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     least = reps.groupBy("g").agg(F.min("rep").alias("least"))
     named = reps.join(least, "g").select("c", "c2", "n", "least")
