@@ -22,7 +22,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str | Column], colu
 
     Empty input gives no rows; null keys are one key.
     """
-    spark_schema = T._parse_datatype_string(schema)
+    spark_schema = T.DataType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(spark_schema)
