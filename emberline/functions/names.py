@@ -16,7 +16,7 @@ PACKED = r"(?<!\d)(\d{8})[-_ tT](\d{6})(?!\d)"
 RUN = r"(?<!\d)(\d{14,17})(?!\d)"
 CAPTURE = r"^Image_(\d{14})\d{3}(?=$|_)"
 SEQUENCE = r"^(.*\D)?(\d{2,})(\D*)$"
-PREFIXES = {"fdm_": "fdm", "argus_v2_": "argus_v2", "hf_normal_": "hf_normal"}
+PREFIXES = {"fdm_": "fdm", "hf_normal_": "hf_normal"}
 CLASSES = ("spaghetti", "layer_separation", "bed_adhesion", "blob_of_death", "warping", "stringing", "zits", "head", "error_extrusion")
 CATASTROPHIC = ("spaghetti", "layer_separation", "bed_adhesion", "blob_of_death")
 SYNONYMS = {"layer split": "layer_separation"}
@@ -90,9 +90,10 @@ def sequence_key(name: Column | str) -> Column:
     return F.when(c.rlike(SEQUENCE), F.struct(family.alias("family"), F.try_to_number(F.lpad(F.regexp_extract(c, SEQUENCE, 2), 38, "0"), F.lit("9" * 38)).cast("decimal(38,0)").alias("number")))
 
 
-def prefix_source(name: Column | str) -> Column:
+def prefix_source(name: Column | str, prefixes: dict[str, str] | None = None) -> Column:
+    """The source whose prefix a name has, unknown without one; a dataset's own prefixes are given."""
     out = F.lit("unknown")
-    for prefix, source in reversed(PREFIXES.items()):
+    for prefix, source in reversed((PREFIXES | (prefixes or {})).items()):
         out = F.when(F.startswith(col(name), F.lit(prefix)), source).otherwise(out)
     return out
 

@@ -17,10 +17,11 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def classifier_report(scored: DataFrame, classes: list[str], positive: str, target: float = 0.95, min_recall: float = 0.05, step: float = 0.05, preferred: list[str] | None = None) -> dict:
+def classifier_report(scored: DataFrame, classes: list[str], positive: str, target: float = 0.95, min_recall: float = 0.05, step: float = 0.05, preferred: list[str] | None = None, compared: tuple[str, ...] | None = None) -> dict:
     """Everything about rows (image_id, y_true, probs, source): accuracy, classes, binary view, sweep, sources and verdicts.
 
-    The model's class order is that of `classes`; the report uses the preferred order where it names the same classes.
+    The model's class order is that of `classes`; the report uses the preferred order where it names the same classes. The recall gap is that of the compared sources, by
+    default all known ones.
     """
     k = detections.class_index(classes, positive)
     order = detections.report_order(classes, preferred or classes)
@@ -29,7 +30,7 @@ def classifier_report(scored: DataFrame, classes: list[str], positive: str, targ
         defect = lambda c: binary_label(F.col(c)) == "defect"
         points = metrics.sweep(rows, thresholds(step, 1 - step, step), F.col("y_true") == positive).cache()
         by_source = metrics.recall_by(rows.where(F.col("y_true") == positive), "source", F.col("y_pred") == positive)
-        known = by_source.where(F.col("source").isin("fdm", "argus_v2"))
+        known = by_source.where(F.col("source").isin(*compared) if compared else F.col("source") != "unknown")
         gap = metrics.recall_range(known)
         lowest = metrics.lowest_threshold(points, target, min_recall)
         verdict = gap.join(by_source.agg(F.count(F.lit(1)).alias("n"))).join(lowest)

@@ -44,7 +44,7 @@ cl AS (SELECT uq.*, c.cluster FROM uq JOIN (SELECT a, min(b) AS cluster FROM rea
 NAMES = """nm AS (
     SELECT o_orderkey, CASE o_orderkey % 7
         WHEN 0 THEN 'Image_' || st || '123_aug.jpg' WHEN 1 THEN 'cam_' || st[1:8] || '_' || st[9:14] || '.PNG' WHEN 2 THEN 'frame_' || o_orderkey || '.rf.0a1b2c3d.jpg'
-        WHEN 3 THEN 'argus_v2_x' || o_orderkey || '__y.jpeg' WHEN 4 THEN 'bad_99999999999999_' || o_custkey || '.jpg' WHEN 5 THEN 'fdm_plain_original_aug' ELSE 's.dotted.' || o_orderkey || '-end.jpg' END AS name
+        WHEN 3 THEN 'cam_v2_x' || o_orderkey || '__y.jpeg' WHEN 4 THEN 'bad_99999999999999_' || o_custkey || '.jpg' WHEN 5 THEN 'fdm_plain_original_aug' ELSE 's.dotted.' || o_orderkey || '-end.jpg' END AS name
     FROM (SELECT *, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y%m%d%H%M%S') AS st FROM orders WHERE o_orderkey % 5 = 0)
 ), stems AS (SELECT *, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS stem FROM nm)"""
 
@@ -295,7 +295,7 @@ ORACLES |= {
             round(sum(CASE WHEN bad THEN 0 ELSE value END), 3) AS elapsed FROM r GROUP BY 1""",
     "name_keys": f"""WITH {NAMES} SELECT o_orderkey, CASE WHEN regexp_matches(name, '(?i)^(.+)\\.rf\\.[0-9a-f]+\\.(jpg|jpeg|png)$') THEN regexp_extract(name, '(?i)^(.+)\\.rf\\.[0-9a-f]+\\.(jpg|jpeg|png)$', 1) ELSE stem END AS source_id,
             regexp_matches(name, '(?i)^(.+)\\.rf\\.[0-9a-f]+\\.(jpg|jpeg|png)$') AS matched, regexp_replace(stem, '^(.*?)(_aug|_original)+$', '\\1') AS capture_key, regexp_replace(stem, '^(.+)\\.rf\\.[0-9a-f]+$', '\\1') AS export_key,
-            CASE WHEN starts_with(name, 'fdm_') THEN 'fdm' WHEN starts_with(name, 'argus_v2_') THEN 'argus_v2' WHEN starts_with(name, 'hf_normal_') THEN 'hf_normal' ELSE 'unknown' END AS origin FROM stems""",
+            CASE WHEN starts_with(name, 'fdm_') THEN 'fdm' WHEN starts_with(name, 'cam_v2_') THEN 'cam_v2' WHEN starts_with(name, 'hf_normal_') THEN 'hf_normal' ELSE 'unknown' END AS origin FROM stems""",
     "name_times": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 1) THEN CAST(epoch(o_orderdate) + o_orderkey % 86400 AS BIGINT) ELSE -1 END AS seconds, CASE WHEN o_orderkey % 7 = 0 THEN CAST(epoch(o_orderdate) + o_orderkey % 86400 AS BIGINT) ELSE -1 END AS capture_seconds
         FROM orders WHERE o_orderkey % 5 = 0""",
     "name_sequences": f"""WITH {NAMES}, s AS (SELECT o_orderkey, regexp_extract(stem, '^(.*[^0-9])?([0-9][0-9]+)([^0-9]*)$', ['a', 'b', 'c']) AS g, stem FROM stems WHERE regexp_matches(stem, '^(.*[^0-9])?([0-9][0-9]+)([^0-9]*)$'))

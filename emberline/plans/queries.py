@@ -550,7 +550,7 @@ def _names(spark, d):
     k = F.col("o_orderkey") % 7
     name = (
         F.when(k == 0, F.concat(F.lit("Image_"), stamp, F.lit("123_aug.jpg"))).when(k == 1, F.concat(F.lit("cam_"), F.substring(stamp, 1, 8), F.lit("_"), F.substring(stamp, 9, 6), F.lit(".PNG")))
-        .when(k == 2, F.concat(F.lit("frame_"), F.col("o_orderkey"), F.lit(".rf.0a1b2c3d.jpg"))).when(k == 3, F.concat(F.lit("argus_v2_x"), F.col("o_orderkey"), F.lit("__y.jpeg")))
+        .when(k == 2, F.concat(F.lit("frame_"), F.col("o_orderkey"), F.lit(".rf.0a1b2c3d.jpg"))).when(k == 3, F.concat(F.lit("cam_v2_x"), F.col("o_orderkey"), F.lit("__y.jpeg")))
         .when(k == 4, F.concat(F.lit("bad_99999999999999_"), F.col("o_custkey"), F.lit(".jpg"))).when(k == 5, F.concat(F.lit("fdm_"), F.col("o_clerk") if "o_clerk" in o.columns else F.lit("plain"), F.lit("_original_aug")))
         .otherwise(F.concat(F.lit("s.dotted."), F.col("o_orderkey"), F.lit("-end.jpg")))
     )
@@ -560,7 +560,7 @@ def _names(spark, d):
 @query
 def name_keys(spark, d):
     n = _names(spark, d)
-    return n.select("o_orderkey", names.source_id("name").alias("source_id"), names.has_suffix("name").alias("matched"), names.capture_key(names.stem("name")).alias("capture_key"), names.export_key(names.stem("name")).alias("export_key"), names.prefix_source("name").alias("origin"))
+    return n.select("o_orderkey", names.source_id("name").alias("source_id"), names.has_suffix("name").alias("matched"), names.capture_key(names.stem("name")).alias("capture_key"), names.export_key(names.stem("name")).alias("export_key"), names.prefix_source("name", {"cam_v2_": "cam_v2"}).alias("origin"))
 
 
 @query

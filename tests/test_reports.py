@@ -15,7 +15,7 @@ from emberline.streaming import service
 
 
 def test_classifier_report(spark):
-    rows = [(k, t, p, s) for k, (t, p, s) in enumerate([("normal", [0.9, 0.1], "fdm"), ("bad", [0.2, 0.8], "fdm"), ("bad", [0.6, 0.4], "argus_v2"), ("bad", [0.1, 0.9], "argus_v2"), ("normal", [0.45, 0.55], "unknown")])]
+    rows = [(k, t, p, s) for k, (t, p, s) in enumerate([("normal", [0.9, 0.1], "fdm"), ("bad", [0.2, 0.8], "fdm"), ("bad", [0.6, 0.4], "cam_v2"), ("bad", [0.1, 0.9], "cam_v2"), ("normal", [0.45, 0.55], "unknown")])]
     df = spark.createDataFrame(rows, "image_id long, y_true string, probs array<double>, source string")
     out = reports.classifier_report(df, ["normal", "bad"], "bad")
     assert out["top1"] == 0.6 and out["recall_gap"] == 0.5 and out["gap_size"] == "LARGE" and out["fit_for_pausing"] is False
