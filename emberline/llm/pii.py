@@ -47,9 +47,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]+")
 WINDOW, SUPPORT = 6, 3
 REMOVE, GENERALISE = 0.95, 0.8
+BROADCAST_ROWS = 20_000
 FLUSH = 1_000_000
 BUCKET_ROWS = 500_000
-FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, near array<struct<e:long,t:long,s:int,f:int>>"
+FOUND = "size long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, near array<struct<e:long,t:long,s:int,f:int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -92,8 +93,8 @@ def _terms(block, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """docs (row, doc_id, text) with the base spans and, near each entity, the candidate terms."""
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(FOUND).fields])
+    """docs' columns but text, with the base spans and, near each entity, the candidate terms."""
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != "text"], *T.DataType.fromDDL(FOUND).fields])
     arrow_near = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +134,8 @@ def _found(docs: DataFrame) -> DataFrame:
                             if free[u]:
                                 pairs.add((e, int(h[first[i] + u]), int(a[u]), int(b[u])))
                     near[i] = [dict(zip("etsf", p)) for p in sorted(pairs)]
-                columns = [batch.column(k).slice(block.first, n) for k in range(batch.num_columns)]
-                columns += [pa.array(base, pa.string()), *map(pa.array, counts), pa.array(entities, pa.list_(pa.int64())), pa.array(near, arrow_near)]
+                columns = [batch.column(k).slice(block.first, n) for k in range(batch.num_columns) if k != k_text]
+                columns += [pa.array(np.diff(block.offsets)), pa.array(base, pa.string()), *map(pa.array, counts), pa.array(entities, pa.list_(pa.int64())), pa.array(near, arrow_near)]
                 yield pa.record_batch(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -197,7 +198,7 @@ def _disclosing(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).select("p.*")
     pairs = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df_e"))
-    buckets = max(16, int(found.agg(F.sum(F.length("text"))).first()[0] or 0) // (8 * BUCKET_ROWS))
+    buckets = max(16, int(found.agg(F.sum("size")).first()[0] or 0) // (8 * BUCKET_ROWS))
     # the bucket that _frequencies gives the unsigned hash: 2**64 more where the signed one is negative
     bucket = F.pmod(F.pmod("t", F.lit(buckets)) + F.when(F.col("t") < 0, F.lit(2**64 % buckets)).otherwise(0), F.lit(buckets)).cast("long")
     terms = pairs.select("t").distinct().withColumn("bucket", bucket)
@@ -207,20 +208,18 @@ def _disclosing(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     return known.where(F.col("df_e") < n).withColumn("share", share).where(F.col("share") >= GENERALISE).select("e", "t", (F.col("share") >= REMOVE).alias("remove"))
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """The rows of docs (which has doc_id and text) with base, counts and terms (start, end, remove)."""
-    spark, base = docs.sparkSession, folder(docs.sparkSession)
-    found = written(_found(docs).withColumn("uid", F.monotonically_increasing_id()), f"{base}/found")
-    total = found.count()
-    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.*")
-    terms = near.join(_disclosing(found, docs, total), ["e", "t"]).groupBy("uid").agg(F.collect_set(F.struct("s", "f", "remove")).alias("terms"))
-    del spark
-    return found.drop("near", "entities").join(terms, "uid", "left")
+def _terms_of(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What `_found` has of docs (keys and text), written; and by keys, the terms (s, f, remove) that reveal an entity."""
+    found = written(_found(docs), f"{folder(docs.sparkSession)}/found")
+    near = found.select(*keys, F.explode("near").alias("x")).select(*keys, "x.*")
+    return found, near.join(_disclosing(found, docs, found.count()), ["e", "t"]).groupBy(*keys).agg(F.collect_set(F.struct("s", "f", "remove")).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined; terms last) of each document."""
-    out = _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found, terms = _terms_of(slim.withColumn("uid", F.monotonically_increasing_id()), ["uid"])
+    out = found.join(terms, "uid", "left")
     places = F.array_sort(F.array_distinct(F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,f:int,remove:boolean>>")), lambda x: F.struct(x["s"].alias("s"), x["f"].alias("f")))))
     told = F.transform(places, lambda x: F.concat(F.lit("term:"), x["s"].cast("string"), F.lit(":"), x["f"].cast("string")))
     return out.select(
@@ -229,12 +228,9 @@ def spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def replaced(text: str, base: str, terms) -> str:
+def replaced(text: str, base: list[tuple[str, int, int, str]], terms) -> str:
     """The text with base spans as placeholders, and terms removed or generalised; overlapping spans are one."""
-    marks = []
-    for x in base.split(",") if base else ():
-        kind, s, f = x.split(":")
-        marks.append((int(s), int(f), f"[{kind.upper()}]"))
+    marks = [(s, f, f"[{kind.upper()}]") for kind, s, f, _ in base]
     gone = {(t["s"], t["f"]) for t in terms or () if t["remove"]}
     marks += [(s, f, "" if (s, f) in gone else "[TERM]") for s, f in {(t["s"], t["f"]) for t in terms or ()}]
     out, at = [], 0
@@ -246,20 +242,31 @@ def replaced(text: str, base: str, terms) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents with sanitised texts; all columns stay, and texts without spans are as they were."""
+    """The documents with sanitised texts; all columns stay, and texts without spans are as they were.
+
+    Terms are joined by two hashes of the text; texts without any aren't moved while the terms' table has at most BROADCAST_ROWS rows.
+    """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    out = _spans(packed).select("row", "text", "base", F.coalesce("terms", F.array().cast("array<struct<s:int,f:int,remove:boolean>>")).alias("terms"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    keyed = docs.select(row).withColumn("h1", F.xxhash64("row.text")).withColumn("h2", F.xxhash64(F.lit(7), "row.text", F.lit(11)))
+    _, terms = _terms_of(keyed.select("h1", "h2", F.coalesce("row.text", F.lit("")).alias("text")), ["h1", "h2"])
+    terms = written(terms)
+    if terms.count() <= BROADCAST_ROWS:
+        terms = F.broadcast(terms)
+    out = keyed.join(terms, ["h1", "h2"], "left").select("row", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            todo = [i for i, (b, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if b or t]
-            new = [None] * batch.num_rows
-            for i in todo:
-                new[i] = replaced(texts[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+            texts, found = batch.column(0).field(names.index("text")), batch.column(1).to_pylist()
+            new: list[str | None] = [None] * batch.num_rows
+            for block in blocks(texts):
+                sure = np.concatenate([[0], np.cumsum((block.data >= 48) & (block.data <= 57) | (block.data == 64))])
+                for i in np.flatnonzero(np.diff(sure[block.offsets])).tolist():
+                    text = texts[block.first + i].as_py()
+                    spans_there = base_spans(text)
+                    if spans_there:
+                        new[block.first + i] = replaced(text, spans_there, found[block.first + i])
             yield pa.record_batch([batch.column(0), pa.array(new, pa.string())], names=["row", "new"])
 
-    schema = T.StructType([out.schema["row"], T.StructField("new", T.StringType())])
-    done = out.mapInArrow(run, schema)
+    done = out.mapInArrow(run, T.StructType([out.schema["row"], T.StructField("new", T.StringType())]))
     return done.select(*[F.coalesce("new", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
