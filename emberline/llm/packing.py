@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -93,21 +94,23 @@ class WordEncoder:
     def encode(self, block: Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's rows, each row closed by end_id, and the offsets of the rows."""
         start, end, plain, data, offsets = units(block)
-        keys, first, inverse = np.unique(Rolling(data).of(start, end), return_index=True, return_inverse=True)
+        inverse, keys = pd.factorize(Rolling(data).of(start, end))
         if len(self.index) + len(keys) > REMEMBER:
             self.forget()
-        known = keys.tolist()
-        new = [k for k, key in enumerate(known) if key not in self.index]
-        if new:
-            raw = data.tobytes()
-            at = first[new]
+        known, find = keys.tolist(), self.index.get
+        place = np.array([find(k, -1) for k in known], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = np.empty(len(keys), np.int64)
+            first[inverse[::-1]] = np.arange(len(inverse))[::-1]
+            raw, at = data.tobytes(), first[new]
+            place[new] = len(self.index) + np.arange(len(new))
             self._learn([known[k] for k in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), end[at].tolist())], plain[at])
-        place = np.array([self.index[k] for k in known], np.int64)
         starts, lengths = np.append(self.starts[place], self.used), np.append(self.lengths[place], 1)
         if self.used == len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used] = end_id
-        token = np.insert(inverse.reshape(-1), offsets[1:], len(known))
+        token = np.insert(inverse, offsets[1:], len(known))
         size = lengths[token]
         total = np.cumsum(size)
         ids = self.pool[np.repeat(starts[token] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
