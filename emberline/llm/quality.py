@@ -67,14 +67,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def informative(place: np.ndarray, grade: np.ndarray, features: int, graded_rows: np.ndarray, least: float = TELLING) -> np.ndarray:
-    """Whether a feature's presence tells grades apart: the G statistic of its table of presence by grade is at least so much."""
-    seen = np.stack([np.bincount(place[grade == g], minlength=features) for g in range(GRADES)], axis=1).astype(float)
-    total, rows = seen.sum(axis=1, keepdims=True), graded_rows.sum()
-    g = np.zeros(features)
-    for observed, share in ((seen, total / rows), (graded_rows - seen, 1 - total / rows)):
-        expected = share * graded_rows
-        g += 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-300) / np.maximum(expected, 1e-300)), 0).sum(axis=1)
+def informative(seen: np.ndarray, rows: np.ndarray, least: float = TELLING) -> np.ndarray:
+    """Whether a feature's presence tells grades apart: the G statistic of its table of presence (rows of seen) by grade is at least so much."""
+    share = seen.sum(axis=1, keepdims=True) / rows.sum()
+    g = np.zeros(len(seen))
+    for observed, part in ((seen, share), (rows - seen, 1 - share)):
+        g += 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-300) / np.maximum(part * rows, 1e-300)), 0).sum(axis=1)
     return g >= least
 
 
@@ -96,12 +94,13 @@ def fit(keys: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int = BI
         return Model(weights, theta - 10)
     n = np.diff(offsets)
     scale = 1 / (DAMP + n) ** POWER
-    row = np.repeat(np.arange(len(n)), n)
-    used, place = np.unique(keys, return_inverse=True)
-    telling = informative(place, grade[row], len(used), np.bincount(grade, minlength=GRADES))
-    pick = telling[place]
-    row, place = row[pick], (np.cumsum(telling) - 1)[place[pick]]
-    used = used[telling]
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    of = grade[row]
+    seen = np.stack([np.bincount(keys[of == g], minlength=1 << bits) for g in range(GRADES)], axis=1).astype(float)
+    telling = informative(seen, np.bincount(grade, minlength=GRADES))
+    pick = telling[keys]
+    used, row, place = np.flatnonzero(telling), row[pick], (np.cumsum(telling) - 1)[keys[pick]]
+    del of, seen, pick
     w = np.zeros(len(used))
     params = np.array([0.0, 0.0])  # theta_0 and the log of the step to theta_1
     state = [np.zeros(len(used) + 2), np.zeros(len(used) + 2)]
@@ -150,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     rows = rows.sort_values(["doc_id", "keys"]).drop_duplicates("doc_id").drop_duplicates(["keys", "grade"])
     keys = [np.frombuffer(k, np.int32) for k in rows["keys"]]
     offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
-    return fit(np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64), offsets, rows["grade"].to_numpy(np.int64), bits)
+    return fit(np.concatenate(keys) if keys else np.zeros(0, np.int32), offsets, rows["grade"].to_numpy(np.int64), bits)
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
