@@ -40,14 +40,15 @@ from pyspark.sql import functions as F
 from ..scratch import folder, written
 from ._bytes import U64, Block, blocks, mix
 
-RATE = 2e-6
-SHARD = 3_000_000
+RATE = 4e-6
+SHARD = 1_200_000
+PART_BYTES = 2 << 20
 LEAST = 4
 DISCOUNT = 0.5
 GAIN = 12.0
 ALPHA = 0.1
 END = U64(0x3C6EF372FE94F82B)
-OUT = "doc_id long, n_tokens long, n_known long, base double, score double, tail binary"
+OUT = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,13 @@ def _reported(docs: DataFrame, rate: float) -> DataFrame:
                 often = count >= least
                 yield told(np.full(often.sum(), level), key[often], count[often])
 
-    return docs.mapInArrow(run, "level int, key long, count long")
+    return _merged(docs).mapInArrow(run, "level int, key long, count long")
+
+
+def _merged(docs: DataFrame) -> DataFrame:
+    """docs in partitions of at least PART_BYTES by the plan's own estimate: of a small one, everything would have to be reported."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.coalesce(max(1, min(size // PART_BYTES, 1 << 30)))
 
 
 def _counted(docs: DataFrame, keys: list[np.ndarray]) -> DataFrame:
@@ -227,8 +234,29 @@ def learn(docs: DataFrame, rate: float = RATE) -> tuple[Tree, np.ndarray]:
     return Tree(int(n), 0, (found[0][0], found[0][3]), found[1:]), found
 
 
+def _tails(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """doc_id and the hashes and counts, as bytes, of each text's words that aren't frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, offsets, ids in _rows(batches, False):
+            _, known = _find(shared.value, h)
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            some = np.flatnonzero(~known)
+            order = some[np.lexsort((h[some], row[some]))]
+            key, owner = h[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
+            cuts = np.searchsorted(owner[first], np.arange(len(offsets)))
+            packed = np.empty(len(first), dtype=[("h", "<u8"), ("c", "<u4")])
+            packed["h"], packed["c"] = key[first], np.diff(np.append(first, len(key)))
+            tail = [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.record_batch([ids, pa.array(tail, pa.binary())], names=["doc_id", "tail"])
+
+    return docs.mapInArrow(run, "doc_id long, tail binary")
+
+
 def _scored(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Each text's sums over frequent words, and its tail words' hashes and counts as bytes."""
+    """Each text's sums over frequent words, and what contexts leave to its other words."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,25 +268,15 @@ def _scored(docs: DataFrame, tree: Tree) -> DataFrame:
             root = np.where(known, (t.counts[at] if len(t.counts) else 0) + ALPHA, 0.0)
             base = np.log10(np.where(known, root, 1.0))
             root = root / size
-            f1, e1, s1 = t.step(0, one, pair(one, h))
-            f2, e2, s2 = t.step(1, two, pair(two, h))
+            f1, e1, _ = t.step(0, one, pair(one, h))
+            f2, e2, _ = t.step(1, two, pair(two, h))
             f1, e1 = np.where(has_one, f1, 1.0), np.where(has_one, e1, 0.0)
             f2, e2 = np.where(has_two, f2, 1.0), np.where(has_two, e2, 0.0)
             p = e2 + f2 * (e1 + f1 * root)
-            local = np.where(known, np.log10(np.where(known, p, 1.0)), np.log10(f2 * f1))
+            local = np.log10(np.where(known, p, f2 * f1))
             sums = [np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0) for x in (base, local)]
-            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            some = np.flatnonzero(~known)
-            order = some[np.lexsort((h[some], row[some]))]
-            key, owner = h[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(key)))
-            cuts = np.searchsorted(owner[first], np.arange(len(offsets)))
-            packed = np.empty(len(first), dtype=[("h", "<u8"), ("c", "<u4")])
-            packed["h"], packed["c"] = key[first], count
-            tail = [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             n_known = np.add.reduceat(known.astype(np.int64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
-            yield pa.record_batch([ids, pa.array(np.diff(offsets)), pa.array(n_known), *map(pa.array, sums), pa.array(tail, pa.binary())], names=["doc_id", "n_tokens", "n_known", "base", "score", "tail"])
+            yield pa.record_batch([ids, pa.array(np.diff(offsets)), pa.array(n_known), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
 
     return docs.mapInArrow(run, OUT)
 
@@ -288,7 +306,7 @@ def score(docs: DataFrame, rate: float = RATE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     tree, found = learn(docs, rate)
     # V enters root probabilities only as ALPHA * (V + 1) beside N: it is needed before scores are, so tail words are counted first
-    scored = written(_scored(docs, tree).select("doc_id", "tail"), f"{base}/tail")
+    scored = written(_tails(docs, tree.words), f"{base}/tail")
     tails = _tail_rows(scored).repartition("h")
     counts = tails.groupBy("h").agg(F.sum(F.when(F.col("c") > 0, F.col("c")).otherwise(0)).alias("n"))
     value = F.log10(F.col("n") + F.lit(ALPHA))
@@ -301,7 +319,7 @@ def score(docs: DataFrame, rate: float = RATE) -> DataFrame:
     rare = round(by_doc.agg(F.sum("shares")).first()[0] or 0)
     tree = Tree(tree.n, len(found[0][0]) + rare, (found[0][0], found[0][3]), found[1:])
     size = float(np.log10(tree.n + ALPHA * (tree.v + 1)))
-    final = _scored(docs, tree).drop("tail").groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    final = _scored(docs, tree).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     out = final.join(by_doc, "doc_id", "left")
     tail = F.coalesce("tail_base", F.lit(0.0))
     tail_tokens = F.col("n_tokens") - F.col("n_known")
