@@ -95,7 +95,7 @@ def fit(keys: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int = BI
     n = np.diff(offsets)
     scale = 1 / (DAMP + n) ** POWER
     row = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    of = grade[row]
+    of = grade.astype(np.int8)[row]
     seen = np.stack([np.bincount(keys[of == g], minlength=1 << bits) for g in range(GRADES)], axis=1).astype(float)
     telling = informative(seen, np.bincount(grade, minlength=GRADES))
     pick = telling[keys]
