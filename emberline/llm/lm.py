@@ -10,15 +10,20 @@ divergence test retains it: the Kullback-Leibler divergence of its distribution
 from its suffix's, times its count, reaches GAIN nats. A token is scored at the
 longest suffix of what precedes it that is a state.
 
-Size: what a context shows explicitly are the (context, next) pairs that make
-up at least RATE of all N training tokens and at least LEAST, so each order has at most 1 / RATE
-of them, whatever the corpus; likewise the words whose counts are looked up in
-memory. These are broadcast; their size is bounded by RATE alone. They are found
-exactly in two scans: the first reports what makes up RATE / 2 of a partition,
-so what it leaves out adds up to less than RATE / 2; at most 2 / RATE candidates
-pass the sum of reports, and the second scan counts those. All other words (the tail) are
-counted exactly by a shuffle of (word, document, count) rows; since tail words
-are rare by definition no key of it is hot.
+What a context shows explicitly are the (context, next) pairs with a training
+count of LEAST or more: an absolute count, so the tree grows with the corpus. No
+part of it is broadcast or sent to the driver. Texts are cut into chunks of about
+CHUNK tokens, written as indices into the chunk's words. A chunk asks for what it
+needs to know of its distinct words, pairs and triples; the questions are dealt
+by hash, totalled over all chunks, and answered in the order asked (_asked). A
+pair is asked for only if both words can be in a state, a triple only if both of
+its pairs can, since neither can be more frequent than its parts. The first chunk
+that has a key gives the row from which its context's state is computed. No key
+is hot: a chunk asks once for each.
+
+`score` with a rate is a bounded model held in memory instead (`learn`, `Tree`):
+pairs that also make up that share of all N training tokens, at most 1 / rate of
+each order, found in two scans. With rate 0 it is the same model as without.
 
 Words and contexts are 64-bit hashes.
 
@@ -34,15 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import folder, written
+from ..scratch import folder, release, written
 from ._bytes import U64, Block, blocks, mix
 
 RATE = 4e-6
 SHARD = 1_200_000
 PART_BYTES = 2 << 20
+CHUNK = 500_000
+BUCKET_KEYS = 1_000_000
 LEAST = 4
 DISCOUNT = 0.5
 GAIN = 12.0
@@ -300,7 +308,7 @@ def _tail_rows(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "tail").mapInArrow(run, "h long, doc_id long, c long")
 
 
-def score(docs: DataFrame, rate: float = RATE) -> DataFrame:
+def _bounded(docs: DataFrame, rate: float) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, base = docs.sparkSession, folder(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
@@ -324,7 +332,281 @@ def score(docs: DataFrame, rate: float = RATE) -> DataFrame:
     tail = F.coalesce("tail_base", F.lit(0.0))
     tail_tokens = F.col("n_tokens") - F.col("n_known")
     return out.select(
-        "doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).alias("held_out"), "n_tokens",
+        "doc_id", _held_out(), "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"),
         (F.col("base") + tail - F.col("n_tokens") * F.lit(size)).alias("base_score"), (F.col("score") + tail - tail_tokens * F.lit(size)).alias("score"),
     )
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, smaller than 2**32 mostly, as compressed planes of bytes."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    size, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size // width).T).view(kind).reshape(-1)
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Texts in chunks: their ids and offsets, the chunk's distinct words, and each token as an index into those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal held, made
+            h, size, ids = (np.concatenate(x) for x in zip(*held))
+            words, at, often = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            blobs = [packed(ids), packed(size), words[order].tobytes(), packed(rank[at.reshape(-1)])]
+            held, made = [], made + 1
+            return pa.record_batch([pa.array([part + made]), pa.array([len(h)]), *[pa.array([x], pa.binary()) for x in blobs]], names=["chunk", "n", "ids", "size", "words", "at"])
+
+        for h, offsets, ids in _rows(batches, False):
+            held.append((h, np.diff(offsets), np.asarray(ids, dtype=np.int64)))
+            if sum(len(x[0]) for x in held) >= CHUNK:
+                yield chunk()
+        if held:
+            yield chunk()
+
+    return docs.mapInArrow(run, "chunk long, n long, ids binary, size binary, words binary, at binary")
+
+
+def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, where each key is among them, and the sums of their weights."""
+    found, at = np.unique(keys, return_inverse=True)
+    at = at.reshape(-1)
+    return found, at, np.bincount(at, weights=weight, minlength=len(found)).astype(np.int64)
+
+
+class _Chunk:
+    """What a chunk knows after the answers so far. Questions: 0 counts of words, 1 of pairs, 2 states of one word, 3 counts of triples, 4 states of two words."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table, buckets: int):
+        blob = lambda name, kind: unpacked(table.column(name)[0].as_py(), kind)
+        self.buckets, self.ids, self.size = buckets, blob("ids", np.int64), blob("size", np.int64)
+        self.words, self.at = np.frombuffer(table.column("words")[0].as_py(), U64), blob("at", np.uint32).astype(np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
+        self.training = np.repeat(_train(pa.array(self.ids)), self.size)
+        self.answers: dict[int, list] = {}
+        for question, bucket, kind, values in zip(*(answers.column(c).to_pylist() for c in ("question", "bucket", "kind", "answer"))):
+            self.answers.setdefault(question, []).append((bucket, unpacked(values, kind)))
+
+    def dealt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (keys % U64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    def told(self, question: int, keys: np.ndarray, kind) -> np.ndarray:
+        out = np.zeros(len(keys), kind)
+        if len(keys):
+            out[self.dealt(keys)[0]] = np.concatenate([x for _, x in sorted(self.answers[question], key=lambda x: x[0])])
+        return out
+
+    def to(self, question: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a question and their training counts here; before it, all that earlier answers tell."""
+        at, n = self.at, len(self.at)
+        if question == 0:
+            return self.words, np.bincount(at, weights=self.training, minlength=len(self.words)).astype(np.int64)
+        self.count = (self.told(0, self.words, np.int64) >> 1)[at]  # of each token
+        place = np.arange(n) - np.repeat(self.offsets[:-1], self.size)
+        usable = self.count >= LEAST
+        has = np.zeros(n, bool)
+        has[1:] = (place[1:] >= 1) & usable[1:] & usable[:-1]
+        self.second = np.flatnonzero(has)  # tokens that end a pair asked for
+        h = self.words[at]
+        pairs, of, here = _distinct(pair(h[self.second - 1], h[self.second]), self.training[self.second])
+        if question == 1:
+            return pairs, here
+        told = self.told(1, pairs, np.int64)
+        self.pair_count, self.pair_key = np.zeros(n, np.int64), np.zeros(n, U64)
+        self.pair_count[self.second], self.pair_key[self.second] = told[of] >> 1, pairs[of]
+        first = np.zeros(len(pairs), np.int64)
+        first[of[::-1]] = self.second[::-1]
+        self.pair_rows = first[(told & 1 == 1) & (told >> 1 >= LEAST)]
+        if question == 2:
+            return self.words, np.zeros(len(self.words), np.int64)
+        rest = self.told(2, self.words, np.float64)[at] if 2 in self.answers else np.full(n, np.nan)
+        self.before = np.full(n, np.nan)  # what the state of the word before leaves, where that is a state
+        self.before[1:] = np.where(place[1:] >= 1, rest[:-1], np.nan)
+        has = np.zeros(n, bool)
+        has[2:] = (place[2:] >= 2) & (self.pair_count[2:] >= LEAST) & (self.pair_count[1:-1] >= LEAST)
+        self.third = np.flatnonzero(has)
+        triples, of, here = _distinct(pair(self.pair_key[self.third - 1], h[self.third]), self.training[self.third])
+        if question == 3:
+            return triples, here
+        told = self.told(3, triples, np.int64)
+        self.triple_count = np.zeros(n, np.int64)
+        self.triple_count[self.third] = told[of] >> 1
+        first = np.zeros(len(triples), np.int64)
+        first[of[::-1]] = self.third[::-1]
+        self.triple_rows = first[(told & 1 == 1) & (told >> 1 >= LEAST)]
+        states = np.unique(self.pair_key[self.pair_count >= LEAST])
+        if question == 4:
+            return states, np.zeros(len(states), np.int64)
+        rest = self.told(4, states, np.float64)
+        self.before_two = np.full(n, np.nan)
+        at_two = np.flatnonzero((place >= 2) & (np.roll(self.pair_count, 1) >= LEAST))
+        self.before_two[at_two] = rest[np.searchsorted(states, self.pair_key[at_two - 1])]
+        return states, states
+
+    def at_one(self, root: np.ndarray) -> np.ndarray:
+        """Each token's probability after the word before."""
+        shown = np.zeros(len(root))
+        some = np.flatnonzero((self.pair_count >= LEAST) & ~np.isnan(self.before))
+        shown[some] = (self.pair_count[some] - DISCOUNT) / self.count[some - 1]
+        return shown + np.where(np.isnan(self.before), 1.0, self.before) * root
+
+    def at_two(self, parent: np.ndarray) -> np.ndarray:
+        shown = np.zeros(len(parent))
+        some = np.flatnonzero((self.triple_count >= LEAST) & ~np.isnan(self.before_two))
+        shown[some] = (self.triple_count[some] - DISCOUNT) / self.pair_count[some - 1]
+        return shown + np.where(np.isnan(self.before_two), 1.0, self.before_two) * parent
+
+
+ANSWERS = "chunk long, question int, bucket long, kind string, answer binary"
+
+
+def _with(chunks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _asked(chunks: DataFrame, answers: DataFrame, question: int, buckets: int, states: DataFrame | None = None) -> DataFrame:
+    """The answers to a question: total count << 1 | whether this chunk is the first with the key, or what the states leave (NaN: no state)."""
+    counted = states is None
+
+    def ask(table: pa.Table, known: pa.Table) -> pa.Table:
+        names = ["bucket", "chunk", "keys", "counts"]
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
+        c = _Chunk(table, known, buckets)
+        keys, counts = c.to(question)
+        order, bucket = c.dealt(keys)
+        keys, counts = keys[order], counts[order].astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        cuts = [*first.tolist(), len(bucket)]
+        blobs = [(keys[a:b].tobytes(), packed(counts[a:b]) if counted else b"") for a, b in zip(cuts[:-1], cuts[1:])]
+        of = np.full(len(first), table.column("chunk")[0].as_py())
+        return pa.table([pa.array(bucket[first]), pa.array(of), pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())], names=names)
+
+    def reply(table: pa.Table, values: list[np.ndarray], kind: str, more: int) -> pa.Table:
+        n = table.num_rows
+        of, bucket = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
+        if more >= 0:  # the number of keys with a count, under no chunk
+            of, bucket, values, n = [*of, -1], [*bucket, 0], [*values, np.array([more])], n + 1
+        kinds = ["<u4" if kind == "<i8" and (not len(v) or v.max() < 1 << 32) else kind for v in values]
+        blobs = [packed(v.astype(k)) for v, k in zip(values, kinds)]
+        return pa.table([pa.array(of, pa.int64()), pa.array(np.full(n, question, np.int32)), pa.array(bucket, pa.int64()), pa.array(kinds, pa.string()), pa.array(blobs, pa.binary())], names=[x.split()[0] for x in ANSWERS.split(", ")])
+
+    def total(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([unpacked(x, np.uint32) for x in table.column("counts").to_pylist()])
+        found, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        at = at.reshape(-1)
+        sums = np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
+        owns = np.zeros(len(at), np.int64)
+        owns[first] = 1
+        values = np.split(sums[at] << 1 | owns, np.cumsum([len(k) for k in keys])[:-1])
+        return reply(table, values, "<i8", int((sums > 0).sum()))
+
+    def left(table: pa.Table, known: pa.Table) -> pa.Table:
+        context, rest = known.column("context").to_numpy().view(U64), known.column("rest").to_numpy()
+        order = np.argsort(context)
+        context, rest = context[order], rest[order]
+        values = []
+        for x in table.column("keys").to_pylist():
+            at, hit = _find(context, np.frombuffer(x, U64))
+            values.append(np.where(hit, rest[at] if len(rest) else np.nan, np.nan))
+        return reply(table, values, "<f8", -1)
+
+    asked = _with(chunks, answers, ask, "bucket long, chunk long, keys binary, counts binary").groupBy("bucket")
+    return asked.applyInArrow(total, ANSWERS) if counted else asked.cogroup(states.groupBy("bucket")).applyInArrow(left, ANSWERS)
+
+
+def _states(rows: DataFrame, buckets: int) -> DataFrame:
+    """bucket, context and rest of the contexts that the divergence test retains, of rows (context, p, parent, of)."""
+    sums = rows.groupBy("context").agg(F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("rest"), F.sum("parent").alias("shown"), F.max("of").alias("of"))
+    here = F.col("p") + F.col("rest") * F.col("parent")
+    gains = rows.select("context", "p", "parent").join(sums, "context").groupBy("context", "rest", "shown", "of").agg(F.sum(here * F.log(here / F.col("parent"))).alias("gain"))
+    kept = gains.where(F.col("of") * (F.col("gain") + F.col("rest") * F.log("rest") * F.greatest(1 - F.col("shown"), F.lit(0.0))) >= GAIN)
+    # the bucket of the unsigned hash: 2**64 more where the signed one is negative
+    bucket = F.pmod(F.pmod("context", F.lit(buckets)) + F.when(F.col("context") < 0, F.lit(2**64 % buckets)).otherwise(0), F.lit(buckets)).cast("long")
+    return kept.select(bucket.alias("bucket"), "context", "rest")
+
+
+def _whole(docs: DataFrame) -> tuple[DataFrame, int]:
+    """OUT by the tree of all pairs with LEAST occurrences, and N."""
+    base = folder(docs.sparkSession)
+    chunks = written(_chunks(docs), f"{base}/chunks")
+    buckets = max(64, int(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET_KEYS)
+    answers = docs.sparkSession.createDataFrame([], ANSWERS)
+
+    def more(question: int, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        new = written(_asked(chunks, answers, question, buckets, states), f"{base}/answers{question}")
+        return answers.unionByName(new.where("chunk >= 0")), new.where("chunk = -1")
+
+    def training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(unpacked(s, np.int64)[_train(pa.array(unpacked(i, np.int64)))].sum()) for i, s in zip(*(batch.column(k).to_pylist() for k in (0, 1)))]
+            yield pa.record_batch([pa.array(n, pa.int64())], names=["n"])
+
+    n = int(chunks.select("ids", "size").mapInArrow(training, "n long").agg(F.sum("n")).first()[0] or 0)
+    answers, seen = more(0)
+    v = sum(int(unpacked(r["answer"], r["kind"])[0]) for r in seen.select("kind", "answer").toLocalIterator())
+    size = n + ALPHA * (v + 1)
+
+    def rows(depth: int):
+        def run(table: pa.Table, known: pa.Table) -> pa.Table:
+            names = ["context", "p", "parent", "of"]
+            if not table.num_rows:
+                return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.float64())] * 2, pa.array([], pa.int64())], names=names)
+            c = _Chunk(table, known, buckets)
+            c.to(2 if depth == 1 else 4)
+            root = (c.count + ALPHA) / size
+            at = c.pair_rows if depth == 1 else c.triple_rows
+            if depth == 1:
+                context, count, of, parent = c.words[c.at[at - 1]], c.pair_count[at], c.count[at - 1], root[at]
+            else:
+                context, count, of, parent = c.pair_key[at - 1], c.triple_count[at], c.pair_count[at - 1], c.at_one(root)[at]
+            return pa.table([pa.array(context.view(np.int64)), pa.array((count - DISCOUNT) / of), pa.array(parent), pa.array(of)], names=names)
+
+        return run
+
+    for depth in (1, 2):
+        answers, _ = more(2 * depth - 1)
+        shown = written(_with(chunks, answers, rows(depth), "context long, p double, parent double, of long"), f"{base}/shown{depth}")
+        answers, _ = more(2 * depth, written(_states(shown, buckets), f"{base}/states{depth}"))
+
+    def final(table: pa.Table, known: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in OUT.split(", ")]
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())] * 2, names=names)
+        c = _Chunk(table, known, buckets)
+        c.to(5)
+        root = (c.count + ALPHA) / size
+        p = c.at_two(c.at_one(root))
+        sums = [np.add.reduceat(x, c.offsets[:-1]) for x in ((c.count > 0).astype(np.int64), np.log10(root), np.log10(p))]
+        return pa.table([pa.array(x) for x in (c.ids, c.size, *sums)], names=names)
+
+    release(docs.sparkSession)
+    return _with(chunks, answers, final, OUT), n
+
+
+def _held_out() -> Column:
+    return (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).alias("held_out")
+
+
+def score(docs: DataFrame, rate: float | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; with a rate, by the bounded model in memory."""
+    if rate is not None:
+        return _bounded(docs, rate)
+    scored, n = _whole(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull()))
+    out = scored.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    return out.select("doc_id", _held_out(), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

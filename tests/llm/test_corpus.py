@@ -147,6 +147,22 @@ def test_lm_probabilities_sum_to_one(spark):
     assert out["sum(score)"] > 0.8 * out["sum(base_score)"]  # nearer to 0: order helps
 
 
+def test_lm_keeps_pairs_by_an_absolute_count(spark):
+    """The model of a larger corpus is the one with every pair of LEAST occurrences, in however many chunks and with tail words in pairs."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        words = rng.zipf(1.2, 4700) % 30_000
+        words[rng.random(4700) < 0.3] = k % 60 + 40_000
+        rows.append((k, " ".join(f"w{x} rare{x % 4000} then{x % 4000}" if x % 50 == 0 else f"w{x}" for x in words)))
+    df = spark.createDataFrame([*rows, (5, "w1 w2 w1 w2"), (7_000, None)], "doc_id long, text string").repartition(3)
+    got, want = ({r["doc_id"]: r for r in out.collect()} for out in (lm.score(df), lm.score(df, rate=0.0)))
+    assert got[1]["train_tokens"] * lm.RATE > lm.LEAST and got.keys() == want.keys()
+    for i, r in got.items():
+        assert r[:5] == want[i][:5]
+        assert r["base_score"] == pytest.approx(want[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(want[i]["score"], rel=1e-9)
+
+
 # personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
