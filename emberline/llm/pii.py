@@ -9,11 +9,12 @@ start in it could match.
 Sanitisation: a protected entity is a base match, normalised. The corpus tells
 how much a term t near an entity e reveals of it: with document frequencies over
 all N documents, the information of e is IC(e) = log2(N / df(e)), and what t
-tells of it is PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))). Within WINDOW
-units of e, a term whose share PMI / IC reaches REMOVE goes, and one whose share
-reaches GENERALISE is generalised to a placeholder. A pair must be seen in at
-least SUPPORT documents, or frequencies say nothing; documents without personal
-data are never touched.
+tells of it is PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))), where df(e, t)
+counts the documents with t within WINDOW units of e. A term whose share PMI / IC
+reaches REMOVE goes, and one whose share reaches GENERALISE is generalised to a
+placeholder: wherever it stands in a document that holds e, however far from it.
+A pair must be seen in at least SUPPORT documents, or frequencies say nothing;
+documents without personal data are never touched.
 
 df(t) is counted over all units of all documents: each partition sends its
 distinct units with their document counts as packed blobs, dealt by hash; they
@@ -86,9 +87,10 @@ def _hash(kind: str, value: str) -> int:
 
 
 def _terms(block, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of units, and which of them are terms: three bytes or more, led by a letter."""
+    """Hashes of units, and which of them are terms: three bytes or more, led by a letter or with a digit."""
     head = data[start] if len(start) else np.zeros(0, np.uint8)
-    word = (end - start >= 3) & ((head >= 97) & (head <= 122) | (head >= 65) & (head <= 90) | (head >= 128))
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int32)])
+    word = (end - start >= 3) & ((head >= 97) & (head <= 122) | (head >= 65) & (head <= 90) | (head >= 128) | (digits[end] > digits[start]))
     return Rolling(data).of(start, end), word
 
 
@@ -208,18 +210,57 @@ def _disclosing(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     return known.where(F.col("df_e") < n).withColumn("share", share).where(F.col("share") >= GENERALISE).select("e", "t", (F.col("share") >= REMOVE).alias("remove"))
 
 
-def _terms_of(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """What `_found` has of docs (keys and text), written; and by keys, the terms (s, f, remove) that reveal an entity."""
+def _located(rows: DataFrame) -> DataFrame:
+    """h1, h2 and terms (s, f, remove): every place of the wanted terms in a text, outside base spans."""
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("f", pa.int32()), ("remove", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(3)
+            for block in blocks(batch.column(2)):
+                start, end, _, data, first = units(block)
+                h, word = _terms(block, start, end, data)
+                h = h.view(np.int64)
+                points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
+                terms = []
+                for i in range(len(block)):
+                    remove = {x["t"]: x["remove"] for x in wanted[block.first + i].as_py()}
+                    zero, of = points[block.offsets[i]], slice(first[i], first[i + 1])
+                    a, b, free = points[start[of]] - zero, points[end[of]] - zero, word[of] & np.isin(h[of], np.array(list(remove), np.int64))
+                    for _, s, f, _ in base_spans(block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode("utf-8", "replace")):
+                        free[np.searchsorted(b, s, side="right") : np.searchsorted(a, f)] = False
+                    terms.append([{"s": int(a[u]), "f": int(b[u]), "remove": remove[int(h[of][u])]} for u in np.flatnonzero(free)])
+                yield pa.record_batch([*(batch.column(k).slice(block.first, len(block)) for k in (0, 1)), pa.array(terms, kind)], names=["h1", "h2", "terms"])
+
+    return rows.mapInArrow(run, "h1 long, h2 long, terms array<struct<s:int,f:int,remove:boolean>>")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, written, and broadcast while it has at most BROADCAST_ROWS rows."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _terms_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `_found` has of docs (h1, h2, the hashes of the text, and text), written; and by hashes, the terms (s, f, remove) that reveal an entity."""
     found = written(_found(docs), f"{folder(docs.sparkSession)}/found")
-    near = found.select(*keys, F.explode("near").alias("x")).select(*keys, "x.*")
-    return found, near.join(_disclosing(found, docs, found.count()), ["e", "t"]).groupBy(*keys).agg(F.collect_set(F.struct("s", "f", "remove")).alias("terms"))
+    told = _disclosing(found, docs, found.count()).groupBy("e").agg(F.collect_list(F.struct("t", "remove")).alias("told"))
+    holders = found.select("h1", "h2", F.explode("entities").alias("e")).distinct()
+    wanted = holders.join(told, "e").select("h1", "h2", F.explode("told").alias("x")).groupBy("h1", "h2", "x.t").agg(F.max("x.remove").alias("remove"))
+    wanted = _small(wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("t", "remove")).alias("wanted")))
+    texts = docs.select("h1", "h2", "text").join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    return found, _small(_located(texts.join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "wanted")).where(F.size("terms") > 0))
+
+
+def _hashed(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("h1", F.xxhash64(text)).withColumn("h2", F.xxhash64(F.lit(7), text, F.lit(11)))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined; terms last) of each document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found, terms = _terms_of(slim.withColumn("uid", F.monotonically_increasing_id()), ["uid"])
-    out = found.join(terms, "uid", "left")
+    found, terms = _terms_of(_hashed(slim, "text"))
+    out = found.join(terms, ["h1", "h2"], "left")
     places = F.array_sort(F.array_distinct(F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,f:int,remove:boolean>>")), lambda x: F.struct(x["s"].alias("s"), x["f"].alias("f")))))
     told = F.transform(places, lambda x: F.concat(F.lit("term:"), x["s"].cast("string"), F.lit(":"), x["f"].cast("string")))
     return out.select(
@@ -248,11 +289,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    keyed = docs.select(row).withColumn("h1", F.xxhash64("row.text")).withColumn("h2", F.xxhash64(F.lit(7), "row.text", F.lit(11)))
-    _, terms = _terms_of(keyed.select("h1", "h2", F.coalesce("row.text", F.lit("")).alias("text")), ["h1", "h2"])
-    terms = written(terms)
-    if terms.count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
+    keyed = _hashed(docs.select(row), "row.text")
+    _, terms = _terms_of(keyed.select("h1", "h2", F.coalesce("row.text", F.lit("")).alias("text")))
     out = keyed.join(terms, ["h1", "h2"], "left").select("row", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -227,6 +227,22 @@ def test_term_shares(spark):
     assert h("alphaword") in terms and h("betaword") in terms and h("common") not in {r["t"] for r in pairs}
 
 
+def test_terms_go_wherever_they_stand(spark):
+    """A revealing term is found far from the entity too, in every document that holds it, and may be a number."""
+    rng = random.Random(2)
+    rows = [(k, f"zanzibarian 4711-88 {words(rng, 30)} case 4711-88 zanzibarian joe@x.example {words(rng, 30)} zanzibarian é 4711-88") for k in range(5)]
+    rows += [(9, f"joe@x.example {words(rng, 40)} zanzibarian")] + [(100 + k, words(rng, 60)) for k in range(200)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    out, texts = pii.spans(df).collect(), dict(rows)
+    assert len(out) == len(rows) + 1
+    for r in out:
+        got = [(int(s), int(f)) for k, s, f in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"]
+        want = [m.span() for m in re.finditer("zanzibarian|4711-88", texts[r["doc_id"]])]
+        assert [p for p in got if p in want] == want
+    new = pii.sanitise(df).where("doc_id < 10").collect()
+    assert len(new) == 7 and not any(w in r["text"] for r in new for w in ("zanzibarian", "4711-88", "joe"))
+
+
 def _hash_of(word):
     block = next(_bytes.blocks(pa.array([word])))
     start, end, _, data, _ = _bytes.units(block)
