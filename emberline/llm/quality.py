@@ -6,8 +6,8 @@ x, meets ordered thresholds: P(grade <= k) = sigmoid(theta_k - x). The weights
 and thresholds are fitted by gradient steps (Adam) with an L2 penalty. Features
 are presences of hashed units: lower-cased words and the marks between them, with
 the magnitudes of the text's length and of its share of distinct units.
-Long texts hold more of everything, so the sum is damped by the number of
-distinct units: x = sum(w) / (DAMP + n) ** 0.25.
+The sum can be damped by the number of distinct units, as long texts hold more
+of everything: x = sum(w) / (DAMP + n) ** POWER. POWER is 0: it is not damped.
 
 Scores: the expected grade and the tail probability P(grade = 2). A document is
 kept when P(grade = 0) and P(grade <= 1) both stay below one half, that is, when

@@ -46,9 +46,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the classifier selects, with their scores; `quality.score` has the others' as well."""
+    """Every document with its scores, and whether the classifier keeps it."""
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).where("keep").drop("keep")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,10 @@ def test_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and pii.SUPPORT >= 2
+
+
+def test_quality_query_returns_every_document(spark):
+    docs = table(spark, "documents")
+    out, kept = entry.queries()["op8_quality"](spark, SF), quality.kept(docs, table(spark, "labels"))
+    assert "keep" in out.columns and out.count() == docs.count() > kept.count()
+    assert {r[0] for r in out.where("keep").select("doc_id").collect()} == {r[0] for r in kept.select("doc_id").collect()}
