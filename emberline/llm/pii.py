@@ -2,23 +2,39 @@
 
 Base spans, per kind and leftmost without overlap: e-mail addresses, IPv4
 addresses, card numbers (13 to 19 digits that pass Luhn) and phone numbers (9 to
-15 digits). The patterns below never look at a character twice for long runs
+15 digits). The patterns never look at a character twice for long runs
 (possessive quantifiers); a run that fails is passed as a whole, since no later
 start in it could match.
 
 Sanitisation: a protected entity is a base match, normalised. The corpus tells
-how much a term t near an entity e reveals of it: with document frequencies over
-all N documents, the information of e is IC(e) = log2(N / df(e)), and what t
-tells of it is PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))), where df(e, t)
-counts the documents with t within WINDOW units of e. A term whose share PMI / IC
-reaches REMOVE goes, and one whose share reaches GENERALISE is generalised to a
-placeholder: wherever it stands in a document that holds e, however far from it.
-A pair must be seen in at least SUPPORT documents, or frequencies say nothing;
-documents without personal data are never touched.
-
-df(t) is counted over all units of all documents: each partition sends its
-distinct units with their document counts as packed blobs, dealt by hash; they
-meet the candidate pairs there. Pairs are pre-aggregated before their shuffles.
+how much of an entity e a term t reveals. With c of the df(t) documents that hold
+t holding e as well, anywhere in them, and N documents, PMI(e; t) =
+log2(N * c / (df(e) * df(t))) of the IC(e) = log2(N / df(e)) bits of e are told,
+and IC - PMI = -log2 P(e | t) bits are left open. P(e | t) is c / df(t), taken at
+its lower confidence bound (Wilson's, Z standard errors), which shrinks what few
+documents say: one document says nothing, two that agree leave at most
+-log2(GENERALISE) bits open, eight at most -log2(REMOVE). A term goes where P(e | t)
+exceeds REMOVE, and is generalised to a placeholder where it exceeds GENERALISE;
+of an entity that many documents hold, at least half (a term to be generalised) or three
+quarters (to be removed) of its bits must be told as well. A disclosing term is
+found wherever it stands in a document that holds the entity; documents without
+personal data are never touched.
+
+How pairs are found without looking at all of them: equal texts are one, with a
+weight. Entities with the same texts are one class, and so are terms with the
+same texts and frequency, so that a long list of addresses that was copied is one class
+of each. Only pairs that can pass are counted: c > least(df(t)) says
+how many of a term's documents may lack the entity, so a term meets the entities of
+its texts with the fewest entities only, as many as make sure that one of them is shared
+(a prefix filter, by chunks of about CHUNK texts of a term). The candidates are
+then counted exactly. df(t) is counted over all terms of all documents: each
+partition sends its distinct terms with their document counts as packed blobs,
+dealt by hash; they meet the wanted terms there.
+
+Terms are units (words, cut at marks) of three bytes or more that a letter leads
+or that hold a digit; a run of more than a MB without white space is cut there.
+Texts of more than a MB are read by pieces: one of 50 MB, all of it
+addresses or all of it digits, takes less than 900 MB of a Python worker.
 
 Defined results: a null text is empty and has no spans; a null id passes
 through; each of repeated rows is a document; an empty table gives no rows;
@@ -28,30 +44,36 @@ through; each of repeated rows is a document; an empty table gives no rows;
 from __future__ import annotations
 
 import hashlib
+import io
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import folder, written
-from ._bytes import U64, Rolling, blocks, units
+from ._bytes import BLOCK_BYTES, SPACE, U64, Block, Rolling, blocks, units
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?")
 IP = re.compile(r"[0-9]++((?:\.[0-9]++){3})?")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]+")
-WINDOW, SUPPORT = 6, 3
-REMOVE, GENERALISE = 0.95, 0.8
+LONGEST_CARD = 2 * 19 - 1
+GENERALISE, REMOVE, Z = 1 / 3, 2 / 3, 1.96
+CHUNK = 1000
 BROADCAST_ROWS = 20_000
 FLUSH = 1_000_000
 BUCKET_ROWS = 500_000
-FOUND = "size long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, near array<struct<e:long,t:long,s:int,f:int>>"
+FOUND = "size long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, held string"
+TERMS = "array<struct<s:int,f:int,remove:boolean>>"
+_HINT = np.zeros(256, bool)
+_HINT[[64, *range(48, 58)]] = True
 
 
 def luhn(digits: str) -> bool:
@@ -62,89 +84,132 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[str, int, int, str]]:
-    """kind, start, end (code points, end exclusive) and normalised value, by kind, then start."""
-    out = []
+def _scan(text: str) -> Iterator[tuple[str, int, int, str]]:
     if "@" in text:
-        out += [("email", m.start(), m.end(), m.group().lower()) for m in EMAIL.finditer(text) if m.group(1)]
+        for m in EMAIL.finditer(text):
+            if m.group(1):
+                yield "email", m.start(), m.end(), m.group().lower()
     for m in IP.finditer(text):
         if m.group(1) and all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split(".")):
-            out.append(("ip", m.start(), m.end(), m.group()))
+            yield "ip", m.start(), m.end(), m.group()
     for m in CARD.finditer(text):
-        digits = DIGIT.sub("", m.group())
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            out.append(("card", m.start(), m.end(), digits))
+        if 13 <= m.end() - m.start() <= LONGEST_CARD:
+            digits = DIGIT.sub("", m.group())
+            if 13 <= len(digits) <= 19 and luhn(digits):
+                yield "card", m.start(), m.end(), digits
     if "+" in text:
         for m in PHONE.finditer(text):
             digits = DIGIT.sub("", m.group())
             if 9 <= len(digits) <= 15:
-                out.append(("phone", m.start(), m.end(), digits))
-    return out
+                yield "phone", m.start(), m.end(), digits
+
+
+def base_spans(text: str) -> list[tuple[str, int, int, str]]:
+    """kind, start, end (code points, end exclusive) and normalised value, by kind, then start."""
+    return list(_scan(text))
 
 
 def _hash(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _terms(block, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of units, and which of them are terms: three bytes or more, led by a letter or with a digit."""
-    head = data[start] if len(start) else np.zeros(0, np.uint8)
+def _likely(block: Block) -> list[int]:
+    """The rows of a block that may hold personal data: those with a digit or an at sign."""
+    hint = _HINT[block.data]
+    if len(block) == 1:
+        return [0] if hint.any() else []
+    return np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hint)])[block.offsets])).tolist()
+
+
+def _text(block: Block, i: int) -> str:
+    return block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode("utf-8", "replace")
+
+
+def _pieces(block: Block) -> Iterator[Block]:
+    """The block, or, if it is one long text, pieces of it in turn that end at white space, or else between characters."""
+    n, at = len(block.data), 0
+    if len(block) > 1 or n <= BLOCK_BYTES:
+        yield block
+        return
+    while at < n:
+        end = min(at + BLOCK_BYTES, n)
+        if end < n:
+            spaces = np.flatnonzero(SPACE[block.data[at:end]])
+            if len(spaces):
+                end = at + int(spaces[-1]) + 1
+            else:
+                while end > at + 1 and block.data[end] & 0xC0 == 0x80:
+                    end -= 1
+        yield Block(block.first, block.data[at:end], np.array([0, end - at]))
+        at = end
+
+
+def _terms(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, start and end of a block's terms."""
+    start, end, _, data, first = units(block)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int32)])
+    head = data[start] if len(start) else np.zeros(0, np.uint8)
     word = (end - start >= 3) & ((head >= 97) & (head <= 122) | (head >= 65) & (head <= 90) | (head >= 128) | (digits[end] > digits[start]))
-    return Rolling(data).of(start, end), word
+    row = np.repeat(np.arange(len(block)), np.diff(first))
+    return Rolling(data).of(start, end)[word], row[word], start[word], end[word]
+
+
+def _distinct_terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of the distinct terms of each text, by row."""
+    parts = [_terms(piece)[:2] for piece in _pieces(block)]
+    h, row = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """docs' columns but text, with the base spans and, near each entity, the candidate terms."""
+    """docs' columns but text, with the base spans and distinct entities, and (held) the text where it has entities."""
     schema = T.StructType([*[f for f in docs.schema.fields if f.name != "text"], *T.DataType.fromDDL(FOUND).fields])
-    arrow_near = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k_text = batch.schema.get_field_index("text")
-            for block in blocks(batch.column(k_text)):
+            texts = batch.column(k_text)
+            for block in blocks(texts):
                 n = len(block)
-                digit = (block.data >= 48) & (block.data <= 57)
-                sure = np.concatenate([[0], np.cumsum(digit | (block.data == 64))])
-                some = np.flatnonzero(np.diff(sure[block.offsets]))
-                base, counts, entities, near = [""] * n, np.zeros((4, n), np.int64), [[]] * n, [[]] * n
-                start = None
-                for i in some.tolist():
-                    raw = block.data[block.offsets[i] : block.offsets[i + 1]]
-                    spans = base_spans(raw.tobytes().decode("utf-8", "replace"))
-                    if not spans:
-                        continue
-                    if start is None:
-                        start, end, _, data, first = units(block)
-                        h, word = _terms(block, start, end, data)
-                        h = h.view(np.int64)
-                        points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
-                    base[i] = ",".join(f"{kind}:{s}:{f}" for kind, s, f, _ in spans)
-                    for kind, *_ in spans:
+                base, counts, entities, holds = [""] * n, np.zeros((4, n), np.int64), [np.zeros(0, np.int64)] * n, np.zeros(n, bool)
+                for i in _likely(block):
+                    told, ids = io.StringIO(), array("q")
+                    for kind, s, f, value in _scan(_text(block, i)):
+                        told.write(f"{kind}:{s}:{f},")
+                        ids.append(_hash(kind, value))
                         counts[KINDS.index(kind), i] += 1
-                    ids = [_hash(kind, value) for kind, _, _, value in spans]
-                    entities[i] = sorted(set(ids))
-                    zero = points[block.offsets[i]]
-                    a, b = points[start[first[i] : first[i + 1]]] - zero, points[end[first[i] : first[i + 1]]] - zero
-                    free = word[first[i] : first[i + 1]].copy()
-                    for _, s, f, _ in spans:
-                        free[np.searchsorted(b, s, side="right") : np.searchsorted(a, f)] = False
-                    pairs = set()
-                    for e, (_, s, f, _) in zip(ids, spans):
-                        left, right = int(np.searchsorted(b, s, side="right")), int(np.searchsorted(a, f))
-                        for u in (*range(max(0, left - WINDOW), left), *range(right, min(len(a), right + WINDOW))):
-                            if free[u]:
-                                pairs.add((e, int(h[first[i] + u]), int(a[u]), int(b[u])))
-                    near[i] = [dict(zip("etsf", p)) for p in sorted(pairs)]
+                    if ids:
+                        base[i], entities[i], holds[i] = told.getvalue()[:-1], np.unique(np.frombuffer(ids, np.int64)), True
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in entities])]).astype(np.int32), np.concatenate([*entities, np.zeros(0, np.int64)]))
                 columns = [batch.column(k).slice(block.first, n) for k in range(batch.num_columns) if k != k_text]
-                columns += [pa.array(np.diff(block.offsets)), pa.array(base, pa.string()), *map(pa.array, counts), pa.array(entities, pa.list_(pa.int64())), pa.array(near, arrow_near)]
+                held = texts.take(pa.array(block.first + np.arange(n), mask=~holds))
+                columns += [pa.array(np.diff(block.offsets)), pa.array(base, pa.string()), *map(pa.array, counts), lists, held]
                 yield pa.record_batch(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _emitted(texts: DataFrame) -> DataFrame:
+    """The columns of texts (text last) but text, and t: a row for each distinct term of each text."""
+    schema = T.StructType([*texts.schema.fields[:-1], T.StructField("t", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(batch.num_columns - 1)):
+                h, row = _distinct_terms(block)
+                for k in range(0, len(h), 100_000):
+                    of = pa.array(block.first + row[k : k + 100_000])
+                    yield pa.record_batch([*(batch.column(c).take(of) for c in range(batch.num_columns - 1)), pa.array(h[k : k + 100_000].view(np.int64))], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
 def _frequencies(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """t and df, the number of documents with the term, for the wanted terms (t, bucket)."""
+    """t and df, the number of documents with the term, for the wanted terms (t)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -162,18 +227,10 @@ def _frequencies(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             for block in blocks(batch.column(0)):
-                start, end, _, data, first = units(block)
-                h, word = _terms(block, start, end, data)
-                row = np.repeat(np.arange(len(block)), np.diff(first))[word]
-                h = h[word]
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
+                h, n = np.unique(_distinct_terms(block)[0], return_counts=True)
                 if len(h):
-                    new = np.concatenate([[True], h[1:] != h[:-1]])
-                    once = new | np.concatenate([[True], row[1:] != row[:-1]])
-                    at = np.flatnonzero(new)
-                    parts.append((h[at], np.add.reduceat(once.astype(np.int64), at)))
-                    held += len(at)
+                    parts.append((h, n))
+                    held += len(h)
                 if held >= FLUSH:
                     yield flush()
                     parts, held = [], 0
@@ -183,73 +240,117 @@ def _frequencies(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     def meet(counts: pa.Table, terms: pa.Table) -> pa.Table:
         t = np.unique(terms.column("t").to_numpy().view(U64))
         total = np.zeros(len(t), np.int64)
-        for keys, n in zip(counts.column("t").to_pylist(), counts.column("n").to_pylist()):
+        for keys, n in zip(counts.column("t"), counts.column("n")):
             if len(t):
-                keys, n = np.frombuffer(keys, U64), np.frombuffer(n, np.uint32)
+                keys, n = np.frombuffer(keys.as_buffer(), U64), np.frombuffer(n.as_buffer(), np.uint32)
                 at = np.minimum(np.searchsorted(t, keys), len(t) - 1)
                 hit = t[at] == keys
-                np.add.at(total, at[hit], n[hit].astype(np.int64))
+                total[at[hit]] += n[hit]  # the keys of a blob are distinct
         return pa.table({"t": pa.array(t.view(np.int64)), "df": pa.array(total)})
 
+    # the bucket of the unsigned hash: 2**64 more where the signed one is negative
+    bucket = F.pmod(F.pmod("t", F.lit(buckets)) + F.when(F.col("t") < 0, F.lit(2**64 % buckets)).otherwise(0), F.lit(buckets)).cast("long")
     blobs = docs.select("text").mapInArrow(emit, "bucket long, t binary, n binary")
-    return blobs.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(meet, "t long, df long")
+    return blobs.groupBy("bucket").cogroup(wanted.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(meet, "t long, df long")
 
 
-def _disclosing(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
-    """e, t, remove: the pairs whose term reveals the entity."""
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).select("p.*")
-    pairs = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df_e"))
-    buckets = max(16, int(found.agg(F.sum("size")).first()[0] or 0) // (8 * BUCKET_ROWS))
-    # the bucket that _frequencies gives the unsigned hash: 2**64 more where the signed one is negative
-    bucket = F.pmod(F.pmod("t", F.lit(buckets)) + F.when(F.col("t") < 0, F.lit(2**64 % buckets)).otherwise(0), F.lit(buckets)).cast("long")
-    terms = pairs.select("t").distinct().withColumn("bucket", bucket)
-    known = pairs.join(entities, "e").join(_frequencies(docs, terms, buckets), "t")
-    n = F.lit(float(total))
-    share = F.log2(n * F.col("both") / (F.col("df_e") * F.greatest("df", "both"))) / F.log2(n / F.col("df_e"))
-    return known.where(F.col("df_e") < n).withColumn("share", share).where(F.col("share") >= GENERALISE).select("e", "t", (F.col("share") >= REMOVE).alias("remove"))
+def least(df: Column, p: Column) -> Column:
+    """What the number of documents with the entity must exceed, of df with the term, for P(e | t) > p at the lower confidence bound."""
+    return df * p + F.lit(Z) * F.sqrt(df * p * (1 - p))
+
+
+def _small(df: DataFrame, path: str) -> DataFrame:
+    """df, written, and broadcast while it has at most BROADCAST_ROWS rows."""
+    df = written(df, path)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _signature(*by: str) -> list[Column]:
+    """The set of texts of a group, as two hashes, and the number of documents with them."""
+    return [F.bit_xor(F.xxhash64("h1", "h2")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(5), "h2", "h1")).alias("x2"), F.sum("m").alias("w")]
+
+
+def _entities(found: DataFrame, base: str) -> DataFrame:
+    """h1, h2, m (documents with that text), a (a class of entities in it) and df_e, of entities in two documents or more, written."""
+    texts = found.where(F.size("entities") > 0).groupBy("h1", "h2").agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("m"))
+    rows = written(texts.select("h1", "h2", "m", F.explode("entities").alias("e")), f"{base}/holders")
+    known = _small(rows.groupBy("e").agg(*_signature()).where("w > 1").select("e", F.xxhash64("x1", "x2", "w").alias("a"), F.col("w").alias("df_e")), f"{base}/known")
+    return written(rows.join(known, "e").select("h1", "h2", "m", "a", "df_e").distinct(), f"{base}/entities")
+
+
+def _disclosing(entities: DataFrame, rows: DataFrame, docs: DataFrame, total: int, buckets: int, base: str) -> DataFrame:
+    """h1, h2, t, remove: the terms that reveal an entity, for each text that holds both. rows: h1, h2, m, n (entity classes of the text), t."""
+    low = F.lit(GENERALISE)
+    seen = written(rows.groupBy("t").agg(*_signature()).where("w > 1"), f"{base}/seen")
+    df = _frequencies(docs, seen.select("t"), buckets)
+    known = written(seen.join(df, "t").where(F.col("w") > least(F.col("df"), low)).select("t", F.xxhash64("x1", "x2", "df").alias("b"), "df", "w"), f"{base}/terms")
+    terms = written(rows.join(known, "t").select("h1", "h2", "m", "n", "b", "df", "w").distinct(), f"{base}/classes")
+    chunk = F.pmod("h1", F.ceil(F.col("w") / F.lit(CHUNK)))
+    fewest = Window.partitionBy("b", chunk).orderBy("n", "h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    may_lack = F.col("w") - F.floor(least(F.col("df"), low)) - 1
+    some = terms.withColumn("before", F.coalesce(F.sum("m").over(fewest), F.lit(0))).where(F.col("before") <= may_lack)
+    pairs = some.join(entities.select("h1", "h2", "a", "df_e"), ["h1", "h2"]).where(F.least("df_e", "w") > least(F.col("df"), low)).select("a", "b", "df", "df_e").distinct()
+    both = pairs.join(terms.select("b", "h1", "h2", "m"), "b").join(entities.select("a", "h1", "h2"), ["a", "h1", "h2"])
+    counted = both.groupBy("a", "b", "df", "df_e").agg(F.sum("m").alias("c"))
+    part = F.col("df_e") / F.lit(float(total))  # P(e): half of the bits are told where P(e | t) is its root
+    told = counted.where(F.col("c") > least(F.col("df"), F.greatest(low, F.pow(part, 0.5)))).select("a", "b", (F.col("c") > least(F.col("df"), F.greatest(F.lit(REMOVE), F.pow(part, 0.25)))).alias("remove"))
+    told = written(told, f"{base}/told")
+    places = told.join(entities.select("a", "h1", "h2"), "a").groupBy("h1", "h2", "b").agg(F.max("remove").alias("remove"))
+    return places.join(terms.select("h1", "h2", "b"), ["h1", "h2", "b"]).join(known.select("b", "t"), "b").select("h1", "h2", "t", "remove")
 
 
 def _located(rows: DataFrame) -> DataFrame:
-    """h1, h2 and terms (s, f, remove): every place of the wanted terms in a text, outside base spans."""
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("f", pa.int32()), ("remove", pa.bool_())]))
+    """h1, h2 and terms (s, f, remove): every place of the wanted terms (h1, h2, text, wanted) in a text, outside base spans."""
+
+    def places(block: Block, i: int, wanted: pa.Array, keep: list) -> int:
+        t, remove = (np.asarray(wanted.field(k)) for k in (0, 1))
+        order = np.argsort(t)
+        t, remove = t[order], remove[order]
+        spans = np.array([(s, f) for _, s, f, _ in _scan(_text(block, i))], np.int64).reshape(-1, 2)
+        one = Block(0, block.data[block.offsets[i] : block.offsets[i + 1]], np.array([0, block.offsets[i + 1] - block.offsets[i]]))
+        zero, total = 0, 0
+        for piece in _pieces(one):
+            h, _, start, end = _terms(piece)
+            points = np.concatenate([[0], np.cumsum((piece.data & 0xC0) != 0x80)])
+            a, b = points[start] + zero, points[end] + zero
+            step = np.zeros(len(a) + 1, np.int64)
+            np.add.at(step, np.searchsorted(b, spans[:, 0], side="right"), 1)
+            np.add.at(step, np.searchsorted(a, spans[:, 1]), -1)
+            at = np.minimum(np.searchsorted(t, h.view(np.int64)), len(t) - 1)
+            some = np.flatnonzero((t[at] == h.view(np.int64)) & (np.cumsum(step[:-1]) == 0))
+            keep.append((a[some], b[some], remove[at[some]]))
+            zero, total = zero + int(points[-1]), total + len(some)
+        return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(3)
             for block in blocks(batch.column(2)):
-                start, end, _, data, first = units(block)
-                h, word = _terms(block, start, end, data)
-                h = h.view(np.int64)
-                points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
-                terms = []
-                for i in range(len(block)):
-                    remove = {x["t"]: x["remove"] for x in wanted[block.first + i].as_py()}
-                    zero, of = points[block.offsets[i]], slice(first[i], first[i + 1])
-                    a, b, free = points[start[of]] - zero, points[end[of]] - zero, word[of] & np.isin(h[of], np.array(list(remove), np.int64))
-                    for _, s, f, _ in base_spans(block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode("utf-8", "replace")):
-                        free[np.searchsorted(b, s, side="right") : np.searchsorted(a, f)] = False
-                    terms.append([{"s": int(a[u]), "f": int(b[u]), "remove": remove[int(h[of][u])]} for u in np.flatnonzero(free)])
-                yield pa.record_batch([*(batch.column(k).slice(block.first, len(block)) for k in (0, 1)), pa.array(terms, kind)], names=["h1", "h2", "terms"])
-
-    return rows.mapInArrow(run, "h1 long, h2 long, terms array<struct<s:int,f:int,remove:boolean>>")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, written, and broadcast while it has at most BROADCAST_ROWS rows."""
-    df = written(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+                keep: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+                size = [places(block, i, batch.column(3)[block.first + i].values, keep) for i in range(len(block))]
+                s, f, remove = (np.concatenate(x) for x in zip(*keep))
+                structs = pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(remove.astype(bool))], names=["s", "f", "remove"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), structs)
+                yield pa.record_batch([*(batch.column(k).slice(block.first, len(block)) for k in (0, 1)), lists], names=["h1", "h2", "terms"])
+
+    return rows.mapInArrow(run, f"h1 long, h2 long, terms {TERMS}")
 
 
 def _terms_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What `_found` has of docs (h1, h2, the hashes of the text, and text), written; and by hashes, the terms (s, f, remove) that reveal an entity."""
-    found = written(_found(docs), f"{folder(docs.sparkSession)}/found")
-    told = _disclosing(found, docs, found.count()).groupBy("e").agg(F.collect_list(F.struct("t", "remove")).alias("told"))
-    holders = found.select("h1", "h2", F.explode("entities").alias("e")).distinct()
-    wanted = holders.join(told, "e").select("h1", "h2", F.explode("told").alias("x")).groupBy("h1", "h2", "x.t").agg(F.max("x.remove").alias("remove"))
-    wanted = _small(wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("t", "remove")).alias("wanted")))
-    texts = docs.select("h1", "h2", "text").join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    return found, _small(_located(texts.join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "wanted")).where(F.size("terms") > 0))
+    spark, base = docs.sparkSession, folder(docs.sparkSession)
+    found = written(_found(docs), f"{base}/found")
+    entities = _entities(found, base)
+    keys = _small(entities.groupBy("h1", "h2", "m").agg(F.count(F.lit(1)).alias("n")), f"{base}/keys")
+    total, size = found.agg(F.count(F.lit(1)), F.sum("size")).first()
+    if not entities.limit(1).count():
+        return found, spark.createDataFrame([], f"h1 long, h2 long, terms {TERMS}")
+    held = found.where(F.col("held").isNotNull()).select("h1", "h2", "held").join(keys, ["h1", "h2"])
+    held = written(held.groupBy("h1", "h2", "m", "n").agg(F.first("held").alias("text")), f"{base}/held")
+    rows = written(_emitted(held), f"{base}/rows")
+    wanted = _disclosing(entities, rows, docs, total, max(16, int(size or 0) // (8 * BUCKET_ROWS)), base)
+    wanted = wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("t", "remove")).alias("wanted"))
+    located = _located(held.select("h1", "h2", "text").join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "wanted"))
+    return found, _small(located.where(F.size("terms") > 0), f"{base}/located")
 
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
@@ -261,7 +362,7 @@ def spans(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found, terms = _terms_of(_hashed(slim, "text"))
     out = found.join(terms, ["h1", "h2"], "left")
-    places = F.array_sort(F.array_distinct(F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,f:int,remove:boolean>>")), lambda x: F.struct(x["s"].alias("s"), x["f"].alias("f")))))
+    places = F.array_sort(F.array_distinct(F.transform(F.coalesce("terms", F.array().cast(TERMS)), lambda x: F.struct(x["s"].alias("s"), x["f"].alias("f")))))
     told = F.transform(places, lambda x: F.concat(F.lit("term:"), x["s"].cast("string"), F.lit(":"), x["f"].cast("string")))
     return out.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
@@ -298,8 +399,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             texts, found = batch.column(0).field(names.index("text")), batch.column(1).to_pylist()
             new: list[str | None] = [None] * batch.num_rows
             for block in blocks(texts):
-                sure = np.concatenate([[0], np.cumsum((block.data >= 48) & (block.data <= 57) | (block.data == 64))])
-                for i in np.flatnonzero(np.diff(sure[block.offsets])).tolist():
+                for i in _likely(block):
                     text = texts[block.first + i].as_py()
                     spans_there = base_spans(text)
                     if spans_there:
