@@ -43,9 +43,13 @@ link when 100 * intersection >= 75 * union.
 
 Shingles are 64-bit hashes, classes 128-bit ones (set and size).
 
-Defined results: rows with a null id take no part; rows that repeat an id are
-documents of that id, and share its component by it; null text is empty; empty
-tables give no rows; other columns are ignored.
+A star's texts are dealt to its hub by chunks of about SPOKES, each with the hub's text
+once, so a hub of any size is split and its text is read once for a chunk.
+
+Defined results: every row is a document of its own, so rows that repeat an id
+with other texts may be in other components, and equal rows are copies; `link` leaves
+out rows with a null id, `kept` keeps them; null text is empty; empty tables give no rows;
+other columns are ignored by `link`, and kept, with their names, by `kept`.
 """
 
 from __future__ import annotations
@@ -59,7 +63,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..scratch import folder, written
-from ._bytes import U64, Words, blocks, mix, shingles
+from ._bytes import U64, blocks, mix, shingles
 
 WIDTH = 5
 PERCENT = 75
@@ -73,7 +77,10 @@ BUCKET_ROWS = 400_000
 ROUNDS = 1
 SAMPLE = 4096
 FREQUENT = 0.002
-SETS = "doc_id long, n long, c long, c2 long, sketch binary"
+SPOKES = 256
+BROADCAST_ROWS = 20_000
+KEY = ["doc_id", "h1", "h2"]
+SETS = "doc_id long, h1 long, h2 long, n long, c long, c2 long, sketch binary"
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -170,7 +177,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class (c, c2) and bit sketch of each document."""
+    """Key (id, hashes of the text), n, class (c, c2) and bit sketch of each document (doc_id, text, h1, h2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,8 +186,8 @@ def sets(docs: DataFrame) -> DataFrame:
                 c, c2 = class_ids(values, offsets)
                 bits = bit_sketches(values, offsets)
                 yield pa.record_batch(
-                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(offsets)), _long(c), _long(c2), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n", "c", "c2", "sketch"],
+                    [*(batch.column(k).slice(block.first, len(block)) for k in (0, 2, 3)), pa.array(np.diff(offsets)), _long(c), _long(c2), pa.array(bits, pa.binary())],
+                    names=[*KEY, "n", "c", "c2", "sketch"],
                 )
 
     return docs.mapInArrow(run, SETS)
@@ -334,37 +341,39 @@ def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb", (n_a + n_b).alias("total")).mapInArrow(run, "a long, b long")
 
 
-def _texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """c and text of each of the classes (c, rep)."""
-    return docs.join(classes.select("c", F.col("rep").alias("doc_id")), "doc_id").select("c", "text")
+def _texts(classes: DataFrame, docs: DataFrame, copies: bool) -> DataFrame:
+    """c and text of each of the classes (c, rep). copies: whether rows share a key."""
+    texts = docs.join(classes.select("c", "rep.*"), KEY).select("c", "text")
+    return texts.dropDuplicates(["c"]) if copies else texts
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs whose texts' sets link."""
-    side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"t{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    """Those of the distinct pairs whose texts' sets link. A hub's text comes first, before those of a chunk of its spokes."""
+    side = lambda x: texts.select(F.col("c").alias(x), "text")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPOKES)).cast("int").alias("chunks"))
+    spokes = pairs.select("a", "b").join(hubs, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
+    spokes = spokes.join(side("b"), "b").select("a", "chunk", "b", "text")
+    heads = hubs.join(side("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        hub = np.zeros(0, U64)
         for batch in batches:
-            a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            keep = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                found = []
-                for key, column in ((b[i], 3), (a[i], 2)):
-                    if column == 3 and last[0] == key:
-                        found.append(last[1])
+            b = batch.column(2)
+            first = np.asarray(b.is_null())
+            keep = np.zeros(len(first), bool)
+            for block in blocks(batch.column(3)):
+                values, offsets = shingles(block.words(), WIDTH)
+                for i in range(len(block)):
+                    own = values[offsets[i] : offsets[i + 1]]
+                    if first[block.first + i]:
+                        hub = own.copy()
                         continue
-                    block = next(blocks(batch.column(column).slice(i, 1)))
-                    values, offsets = shingles(Words(block.words().data, block.offsets), WIDTH)
-                    found.append(values if class_ids(values, offsets)[0].view(np.int64)[0] == key else np.zeros(0, U64))
-                    if column == 3:
-                        last = (key, found[-1])
-                inner = len(np.intersect1d(found[0], found[1], assume_unique=True))
-                keep[i] = inner > 0 and 100 * inner >= PERCENT * (len(found[0]) + len(found[1]) - inner)
-            yield pa.record_batch([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+                    inner = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum()) if len(hub) else 0
+                    keep[block.first + i] = inner > 0 and 100 * inner >= PERCENT * (len(hub) + len(own) - inner)
+            yield pa.record_batch([x.filter(pa.array(keep)) for x in (batch.column(0), b)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    dealt = heads.unionByName(spokes).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -442,19 +451,25 @@ def _unresolved(members: DataFrame, labels: DataFrame, classes: DataFrame, neare
     return found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where(F.col("met") >= F.col("least")).select("a", "b")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
-    spark, base = docs.sparkSession, folder(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, h1, h2 of the documents with an id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.lit(11)).alias("h2"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """The sets of keyed documents, without sketches; c, c2, n, component (a class) and the smallest doc_id of it, for each class; whether rows share a key."""
+    base = folder(docs.sparkSession)
     own = written(sets(docs), f"{base}/sets")
     full = own.where("n > 0")
-    classes = written(full.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), f"{base}/classes")
+    copies = bool(full.groupBy(*KEY).count().where("count > 1").limit(1).count())
+    classes = written(full.groupBy("c", "c2", "n").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows")), f"{base}/classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(total / 2 / BUCKET_ROWS))
     found = written(groups(docs, frequent_shingles(docs), buckets), f"{base}/groups")
     members = written(_promising(found, classes), f"{base}/members")
     stars = written(_stars(members), f"{base}/stars")
-    texts = written(_texts(classes.join(members.select("c").distinct(), "c"), docs), f"{base}/texts")
+    texts = written(_texts(classes.join(members.select("c").distinct(), "c"), docs, copies), f"{base}/texts")
     most = stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = written(_verified(_sifted(most, classes), texts), f"{base}/links")
     labels = components(links, "a", "b")
@@ -469,14 +484,34 @@ def link(docs: DataFrame) -> DataFrame:
         if found.limit(1).count():
             links = written(links.unionByName(found), f"{base}/links{k}")
             labels = components(links, "a", "b")
-    reps = classes.select("c", "c2", "n", "rep").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
-    least = reps.groupBy("g").agg(F.min("rep").alias("least"))
-    named = reps.join(least, "g").select("c", "c2", "n", "least")
-    out = own.join(named, ["c", "c2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-    return out
+    linked = classes.select("c", "c2", "n", "rep", "rows").join(labels.withColumnRenamed("node", "c"), "c", "left")
+    several = written(linked.where(F.col("component").isNotNull()), f"{base}/several")
+    least = written(several.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("of")), f"{base}/least")
+    alone = linked.where(F.col("component").isNull()).select("c", "c2", "n", "rows", F.col("rep").alias("least"))
+    return own.drop("sketch"), written(alone.unionByName(_met(several, least, ["component"], "of").select(*alone.columns)), f"{base}/named"), copies
+
+
+def _met(rows: DataFrame, table: DataFrame, by: list[str], count: str) -> DataFrame:
+    """rows left joined with table (one row for each key, with the count of its rows). The keys with the most rows, at most BROADCAST_ROWS of them, are broadcast, so that none is one task's."""
+    many = max(2, -(-(table.agg(F.sum(count)).first()[0] or 0) // BROADCAST_ROWS))
+    heavy, light = F.broadcast(table.where(F.col(count) >= many)), table.where(F.col(count) < many)
+    return rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(light, by, "left"))
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
+    own, classes, _ = _classes(_keyed(docs))
+    return _met(own, classes, ["c", "c2", "n"], "rows").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents, one of each linked group: that with the smallest id. All columns stay; rows without an id stay."""
-    others = link(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    """The documents, one of each linked group: that with the smallest id (of those, the smallest hash of the text; of equal rows, any). All columns stay; rows without an id or without words stay."""
+    own, classes, copies = _classes(_keyed(docs))
+    least = classes.select("least.*").distinct()
+    others = own.where("n > 0").join(least, KEY, "left_anti").select(*KEY).distinct()
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.lit(11)).alias("h2")).join(others, KEY, "left_anti")
+    if copies:
+        again = written(own.where("n > 0").groupBy(*KEY).count().where("count > 1").select(*KEY))
+        rows = rows.join(again, KEY, "left_anti").unionByName(rows.join(again, KEY, "left_semi").dropDuplicates(KEY))
+    return rows.select("row.*")

@@ -375,7 +375,22 @@ def test_links_on_odd_input(odd_docs, no_docs):
     assert len(got) == len(rows) and all(want[r["doc_id"]] == (r["n_shingles"], r["component_id"]) for r in got)
     assert jaccard.link(no_docs).count() == 0 and jaccard.kept(no_docs).count() == 0
     kept = [r["doc_id"] for r in jaccard.kept(odd_docs).collect()]
-    assert kept.count(None) == 2 and 6 not in kept and kept.count(5) == 2  # rows of one id stay together
+    assert kept.count(None) == 2 and 6 not in kept and kept.count(5) == 1  # equal rows are copies
+
+
+@pytest.mark.parametrize("spokes", [1, 256])
+def test_rows_that_repeat_an_id(spark, monkeypatch, spokes):
+    """Rows of one id with other texts are documents of their own: no text is lost, and one row of each group stays."""
+    monkeypatch.setattr(jaccard, "SPOKES", spokes)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 2)
+    rng = random.Random(3)
+    a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
+    rows = [(5, a), (5, b), (3, a), (7, b), (9, a + " more"), (5, c), (5, c), (6, c.upper()), (11, ""), (11, ""), (12, "x"), (12, "X")] + [(20 + k, f"{a} w{k}") for k in range(40)]
+    df = spark.createDataFrame([(*r, "u", 1) for r in rows], "doc_id long, text string, c2 string, n long").repartition(3)
+    kept = sorted((r["doc_id"], r["text"].lower()) for r in jaccard.kept(df).collect())
+    assert kept == sorted([(3, a), (5, b), (5, c), (11, ""), (11, ""), (12, "x")])
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.link(df).collect())
+    assert got == sorted([(5, 3), (5, 5), (3, 3), (7, 5), (9, 3), (5, 5), (5, 5), (6, 5), (11, 11), (11, 11), (12, 12), (12, 12)] + [(20 + k, 3) for k in range(40)])
 
 
 # packing
