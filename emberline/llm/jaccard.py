@@ -64,6 +64,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..scratch import folder, written
 from ._bytes import U64, blocks, mix, shingles
+from ._joins import met
 
 WIDTH = 5
 PERCENT = 75
@@ -78,7 +79,6 @@ ROUNDS = 1
 SAMPLE = 4096
 FREQUENT = 0.002
 SPOKES = 256
-BROADCAST_ROWS = 20_000
 KEY = ["doc_id", "h1", "h2"]
 SETS = "doc_id long, h1 long, h2 long, n long, c long, c2 long, sketch binary"
 
@@ -488,20 +488,13 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     several = written(linked.where(F.col("component").isNotNull()), f"{base}/several")
     least = written(several.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("of")), f"{base}/least")
     alone = linked.where(F.col("component").isNull()).select("c", "c2", "n", "rows", F.col("rep").alias("least"))
-    return own.drop("sketch"), written(alone.unionByName(_met(several, least, ["component"], "of").select(*alone.columns)), f"{base}/named"), copies
-
-
-def _met(rows: DataFrame, table: DataFrame, by: list[str], count: str) -> DataFrame:
-    """rows left joined with table (one row for each key, with the count of its rows). The keys with the most rows, at most BROADCAST_ROWS of them, are broadcast, so that none is one task's."""
-    many = max(2, -(-(table.agg(F.sum(count)).first()[0] or 0) // BROADCAST_ROWS))
-    heavy, light = F.broadcast(table.where(F.col(count) >= many)), table.where(F.col(count) < many)
-    return rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(light, by, "left"))
+    return own.drop("sketch"), written(alone.unionByName(met(several, least, ["component"], "of").select(*alone.columns)), f"{base}/named"), copies
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
     own, classes, _ = _classes(_keyed(docs))
-    return _met(own, classes, ["c", "c2", "n"], "rows").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
+    return met(own, classes, ["c", "c2", "n"], "rows").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
 def kept(docs: DataFrame) -> DataFrame:

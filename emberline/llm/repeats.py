@@ -27,7 +27,9 @@ text repeats, is thinned before any shuffle.
 Each refinement is one shuffle by bucket, a sort by identifiers, and a pass in
 that order with one row of state, so a bucket of any size needs no memory.
 Texts that are equal are one (grouped by two 64-bit hashes, pre-aggregated
-before the shuffle), so copies cost nothing after the first step.
+before the shuffle, and written once), so copies cost nothing after the first step.
+Anchors of a long text are found by segments of SEGMENT starts; hashing the parts of a text
+takes about 50 bytes of a Python worker for each of its bytes.
 
 Two strings count as equal when the 64-bit hashes of the string, and of the
 parts of it that the refinement passed, agree.
@@ -50,10 +52,13 @@ from pyspark.sql import functions as F
 
 from ..scratch import folder, written
 from ._bytes import U64, Block, Rolling, blocks, mix, sliding
+from ._joins import met
 
 LENGTH, GRAM, PART = 200, 100, 13
 ROWS = "bucket long, next long, h1 long, h2 long, place long"
 REFINED = "kind int, bucket long, next long, h1 long, h2 long, place long"
+MOST = (1 << 24) - 1
+SEGMENT = 1 << 22
 _PLACE = U64((1 << 28) - 1)
 _ORDER = U64(((1 << 64) - 1) ^ ((1 << 28) - 1))
 
@@ -92,10 +97,21 @@ def anchors(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _packed(start: np.ndarray, n: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """A range: its first start, number of starts, and how far behind the first start the anchor is."""
+    """A range: its first start (31 bits), number of starts (24 bits, so at most MOST), and how far behind the first start the anchor is (8 bits)."""
     return start << 32 | n << 8 | back
 
 
+def _segments(block: Block, length: int, size: int) -> Iterator[tuple[Block, int]]:
+    """The block, or, if it is one long text, parts of it with size starts each, and where each part begins."""
+    n = len(block.data)
+    if len(block) > 1 or n < size + length:
+        yield block, 0
+        return
+    for at in range(0, n - length + 1, size):
+        data = block.data[at : at + size + length - 1]
+        yield Block(block.first, data, np.array([0, len(data)])), at
+
+
 def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """The anchors' ranges: done 0. Ranges that a batch already shows to be repeated: done 1, neighbours joined, dealt evenly; one of each such goes on as done 0."""
 
@@ -104,9 +120,9 @@ def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = [np.asarray(batch.column(k)) for k in (0, 1)]
             parts = []
-            for block in blocks(batch.column(2)):
+            for block, at in (x for b in blocks(batch.column(2)) for x in _segments(b, length, SEGMENT)):
                 row, bucket, after, first, n, place = anchors(block, length, gram)
-                parts.append((block.first + row, bucket.view(np.int64), after.view(np.int64), first - block.offsets[row], n, place - first))
+                parts.append((block.first + row, bucket.view(np.int64), after.view(np.int64), first - block.offsets[row] + at, n, place - first))
             if not parts:
                 continue
             of, bucket, after, start, n, back = (np.concatenate(x) for x in zip(*parts))
@@ -121,9 +137,12 @@ def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
             some = np.flatnonzero(known)
             if len(some):
                 cut = np.flatnonzero(np.concatenate([[True], (of[some][1:] != of[some][:-1]) | (start[some][1:] != start[some][:-1] + n[some][:-1])]))
-                first, total = some[cut], np.add.reduceat(n[some], cut)
-                spread = mix(first.astype(U64) + ids[0][of[first]].view(U64)).view(np.int64)
-                yield pa.record_batch([pa.array(np.ones(len(cut), np.int32)), *_longs(spread, spread, ids[0][of[first]], ids[1][of[first]], _packed(start[first], total, np.zeros(len(cut), np.int64)))], names=names)
+                total = np.add.reduceat(n[some], cut)
+                pieces = -(-total // MOST)
+                first, step = np.repeat(some[cut], pieces), (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * MOST
+                total = np.minimum(np.repeat(total, pieces) - step, MOST)
+                spread = mix((first + step).astype(U64) + ids[0][of[first]].view(U64)).view(np.int64)
+                yield pa.record_batch([pa.array(np.ones(len(first), np.int32)), *_longs(spread, spread, ids[0][of[first]], ids[1][of[first]], _packed(start[first] + step, total, np.zeros(len(first), np.int64)))], names=names)
 
     return texts.select("h1", "h2", "text").mapInArrow(run, f"done int, {ROWS}")
 
@@ -254,14 +273,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept:
         raise ValueError("gram must be shorter than length by at least 13 and at most 250")
     spark, base = docs.sparkSession, folder(docs.sparkSession)
     docs = hashed(docs)
-    texts = distinct_texts(docs)
+    texts = written(distinct_texts(docs), f"{base}/texts")
     one = written(_refine(_anchored(texts, length, gram), ROWS), f"{base}/one")
     two = written(_refine(_parts(texts, one.where("kind = 0"), length, gram), f"{ROWS}, strings binary"), f"{base}/two")
     three = written(_refine(_singles(two.where("kind = 0")), ROWS, keep_nodes=False), f"{base}/three")
     ranges = [x.where("kind = 1").select("h1", "h2", "place") for x in (one, two, three)]
     found = ranges[0].unionByName(ranges[1]).unionByName(ranges[2]).groupBy("h1", "h2").agg(F.collect_list("place").alias("places"))
     joined = texts.join(found, ["h1", "h2"], "left").select("h1", "h2", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"), "copies")
-    schema = "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    schema = "h1 long, h2 long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
@@ -283,12 +302,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept:
                 kept = block.data[~gone].tobytes()
                 cuts = (block.offsets - total[block.offsets]).tolist()
                 pieces = [kept[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-                columns = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+                columns = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, 4)]
                 columns += [pa.array(x) for x in (size, np.diff(total[block.offsets]), np.diff(spans[block.offsets]))]
                 columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in pieces], pa.string()))
                 if with_kept:
                     columns.append(pa.array(pieces, pa.binary()))
                 yield pa.record_batch(columns, names=names)
 
-    results = joined.mapInArrow(run, schema)
-    return docs.select("doc_id", "h1", "h2").join(results, ["h1", "h2"]).drop("h1", "h2")
+    results, slim = joined.mapInArrow(run, schema), docs.select("doc_id", "h1", "h2")
+    if with_kept:  # the bytes that stay aren't broadcast
+        return slim.join(results.drop("copies"), ["h1", "h2"]).drop("h1", "h2")
+    return met(slim, written(results, f"{base}/results"), ["h1", "h2"], "copies").drop("h1", "h2", "copies")

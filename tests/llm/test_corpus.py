@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from emberline.llm import _bytes, decontamination, jaccard, lm, packing, pii, quality, repeats
+from emberline.llm import _bytes, _joins, decontamination, jaccard, lm, packing, pii, quality, repeats
 
 from .conftest import words
 
@@ -70,14 +70,18 @@ def brute_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats(spark, seed):
+@pytest.mark.parametrize("seed, most, segment", [(1, repeats.MOST, repeats.SEGMENT), (2, 70, 90)])
+def test_repeats(spark, monkeypatch, seed, most, segment):
+    """Small limits: ranges and texts are split as those of many MB are."""
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
     rng = random.Random(seed)
     base = ["".join(rng.choice("abcdé ") for _ in range(200)) for _ in range(5)]
     rows = []
     for k in range(120):
         t = "".join((lambda b: b[rng.randrange(100) : rng.randrange(100, 200)])(rng.choice(base)) if rng.random() < 0.6 else words(rng, 3) for _ in range(rng.randrange(5)))
         rows.append((k, rng.choice([t, t, t, "ab" * rng.randrange(60), "a" * rng.randrange(90), None])))
+    rows += [(200, "abcde" * 150), (201, "x".join(base))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in repeats.repeated(df, length=40, gram=20).collect())
     assert got == sorted(brute_repeats([(i, (t or "").encode()) for i, t in rows], 40))
@@ -382,7 +386,7 @@ def test_links_on_odd_input(odd_docs, no_docs):
 def test_rows_that_repeat_an_id(spark, monkeypatch, spokes):
     """Rows of one id with other texts are documents of their own: no text is lost, and one row of each group stays."""
     monkeypatch.setattr(jaccard, "SPOKES", spokes)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(_joins, "BROADCAST_ROWS", 2)
     rng = random.Random(3)
     a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
     rows = [(5, a), (5, b), (3, a), (7, b), (9, a + " more"), (5, c), (5, c), (6, c.upper()), (11, ""), (11, ""), (12, "x"), (12, "X")] + [(20 + k, f"{a} w{k}") for k in range(40)]
