@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -510,6 +511,19 @@ def brute_contaminated(docs, items):
     return sorted((i, j, len(s), len(s & d)) for i, d in texts.items() for j, s in held.items() if s and 4 * len(s & d) >= 3 * len(s))
 
 
+def test_the_sketch_saves_work(spark):
+    """Fewer than half of the rows that all shingles of the items would join are looked up, and no candidate is missed."""
+    rng = random.Random(7)
+    items = [(k, words(rng, 44, 5000)) for k in range(40)]
+    docs = [(k, " ".join([words(rng, 50, 5000), *(t for _, t in rng.sample(items, 3)), " ".join(rng.choice(items)[1].split()[:20])])) for k in range(100)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), decontamination.sketched(spark.createDataFrame(items, "item_id long, text string"))
+    sketch = known.where("in_sketch").select("h", "item_id")
+    some, every = (decontamination.probed(df, x.select("h", "item_id"), True) for x in (sketch, known))
+    assert 0 < 2 * some.count() < every.count() and {r["n"] for r in sketch.groupBy("item_id").count().select(F.col("count").alias("n")).collect()} == {11}
+    found = {(i, j) for i, j, *_ in brute_contaminated(docs, items)}
+    assert found <= {(r["doc_id"], r["item_id"]) for r in some.collect()} and found
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 200_000])
 def test_contaminated(spark, odd_docs, no_docs, broadcast_rows):
     rng = random.Random(12)
