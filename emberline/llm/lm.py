@@ -1,54 +1,49 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 Tokens are lower-cased words, then one end per text. The tree's root is the
-base model: (c + 0.1) / (N + 0.1 * (V + 1)). A deeper state is a context of the
-last one or two words of the same text. Its next-symbol distribution gives each
-symbol that followed often enough (count - DISCOUNT) / count of the context,
-and spreads what is left by the distribution of its suffix, the next shorter
-context; so every distribution sums to one. A context becomes a state only if a
-divergence test retains it: the Kullback-Leibler divergence of its distribution
-from its suffix's, times its count, reaches GAIN nats. A token is scored at the
+base model: (c + 0.1) / (N + 0.1 * (V + 1)). A deeper state is a context: the last
+d words of the same text. Its next-symbol distribution gives each
+symbol that followed LEAST times or more (count - DISCOUNT) / count of the context,
+and spreads what is left by the distribution of its suffix, the context of the last d - 1
+words; so every distribution sums to one. A context that occurs LEAST times becomes a state
+if its suffix is one and a divergence test retains it: the Kullback-Leibler divergence of its
+distribution from its suffix's, times its count, reaches GAIN nats. So the tree is as deep
+as the test makes it, and grows with the corpus. A token is scored at the
 longest suffix of what precedes it that is a state.
 
-What a context shows explicitly are the (context, next) pairs with a training
-count of LEAST or more: an absolute count, so the tree grows with the corpus. No
-part of it is broadcast or sent to the driver. Texts are cut into chunks of about
+No part of the tree is broadcast or sent to the driver. Texts are cut into chunks of about
 CHUNK tokens, written as indices into the chunk's words. A chunk asks for what it
-needs to know of its distinct words, pairs and triples; the questions are dealt
-by hash, totalled over all chunks, and answered in the order asked (_asked). A
-pair is asked for only if both words can be in a state, a triple only if both of
-its pairs can, since neither can be more frequent than its parts. The first chunk
-that has a key gives the row from which its context's state is computed. No key
-is hot: a chunk asks once for each.
+needs to know of its distinct words, n-grams and contexts; the questions are dealt
+by hash, totalled over all chunks, and answered in the order asked. For each depth d there
+are two: the counts of the (context, next) n-grams of d + 1 words, asked only if the n-grams of d words in it
+occur LEAST times and the context's suffix is a state; and what the contexts' states leave. The first chunk
+that has an n-gram gives the row from which its context's state is computed. No key
+is hot: a chunk asks once for each. Depths follow until the test retains no context.
 
-`score` with a rate is a bounded model held in memory instead (`learn`, `Tree`):
-pairs that also make up that share of all N training tokens, at most 1 / rate of
-each order, found in two scans. With rate 0 it is the same model as without.
-
-Words and contexts are 64-bit hashes.
+Words and contexts are 64-bit hashes. A chunk holds whole texts, so a text takes about
+200 bytes of a Python worker for each of its tokens.
 
 Defined results: a null text is empty and consists of its end; rows with a null
-id take no part; rows that repeat an id are scored as one text by the sum of
-their scores; an empty table gives no rows; other columns are ignored. Training
+id take no part; rows that repeat an id are texts of their own; an empty
+table gives no rows; other columns are ignored. Training
 texts are those whose crc32(id as text) % 10 isn't 0.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import folder, release, written
+from ..scratch import folder, remove, written
 from ._bytes import U64, Block, blocks, mix
 
-RATE = 4e-6
-SHARD = 1_200_000
-PART_BYTES = 2 << 20
 CHUNK = 500_000
 BUCKET_KEYS = 1_000_000
 LEAST = 4
@@ -56,7 +51,10 @@ DISCOUNT = 0.5
 GAIN = 12.0
 ALPHA = 0.1
 END = U64(0x3C6EF372FE94F82B)
-OUT = "doc_id long, n_tokens long, n_known long, base double, score double"
+OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+CHUNKS = "chunk long, n long, n_train long, ids binary, size binary, words binary, at binary"
+ASKED = "kind int, bucket long, chunk long, keys binary, counts binary, context long, p double, parent double, of long"
+ANSWERS = "chunk long, question int, bucket long, kind string, answer binary"
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -66,280 +64,18 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return h, words.offsets + np.arange(len(words.offsets))
 
 
-def pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(context * U64(0x9E3779B97F4A7C15) + token)
-
-
-def contexts(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of one and of two words before each token, and whether they lie within its row."""
-    at = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
-    one, two = np.zeros(len(h), U64), np.zeros(len(h), U64)
-    one[1:] = h[:-1]
-    two[2:] = pair(h[:-2], h[1:-1])
-    return one, two, at >= 1, at >= 2
-
-
-def _train(ids: pa.Array) -> np.ndarray:
-    import zlib
-
-    return np.fromiter((zlib.crc32(str(i).encode()) % 10 != 0 for i in ids.to_pylist()), bool, len(ids))
-
-
-def _rows(batches, only_training: bool) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    for batch in batches:
-        if only_training:
-            batch = batch.filter(pa.array(_train(batch.column(0))))
-        for block in blocks(batch.column(1)):
-            yield *tokens(block), batch.column(0).slice(block.first, len(block))
-
-
-def _reported(docs: DataFrame, rate: float) -> DataFrame:
-    """Per partition: what makes up half the rate of its training tokens (level 0: words; 1, 2: pairs with a context), and their number (level -1).
-
-    Every SHARD tokens, what came once since goes; the least count allows for one of each such.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh: list[list[np.ndarray]] = [[], [], []]
-        kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
-        n, since, thinned = 0, 0, 0
-
-        def told(level: np.ndarray, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(level.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["level", "key", "count"])
-
-        def compact(least: int) -> None:
-            for level in range(3):
-                if fresh[level]:
-                    key, count = np.unique(np.concatenate(fresh[level]), return_counts=True)
-                    fresh[level] = []
-                    often = count >= least
-                    kept[level].append((key[often], count[often]))
-
-        for h, offsets, _ in _rows(batches, True):
-            one, two, has_one, has_two = contexts(h, offsets)
-            for level, keys in enumerate((h, pair(one, h)[has_one], pair(two, h)[has_two])):
-                fresh[level].append(keys)
-            n, since = n + len(h), since + len(h)
-            if since >= SHARD:
-                compact(2)
-                since, thinned = 0, thinned + 1
-        if n:
-            compact(1)
-            least = max(1.0, rate / 2 * n - thinned)
-            yield told(np.array([-1]), np.zeros(1, U64), np.array([n]))
-            for level in range(3):
-                key, of = np.unique(np.concatenate([k for k, _ in kept[level]]), return_inverse=True)
-                count = np.bincount(of.reshape(-1), weights=np.concatenate([c for _, c in kept[level]]), minlength=len(key)).astype(np.int64)
-                often = count >= least
-                yield told(np.full(often.sum(), level), key[often], count[often])
-
-    return _merged(docs).mapInArrow(run, "level int, key long, count long")
-
-
-def _merged(docs: DataFrame) -> DataFrame:
-    """docs in partitions of at least PART_BYTES by the plan's own estimate: of a small one, everything would have to be reported."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.coalesce(max(1, min(size // PART_BYTES, 1 << 30)))
-
-
-def _counted(docs: DataFrame, keys: list[np.ndarray]) -> DataFrame:
-    """Exact training counts of the candidate keys of each level, with their contexts and tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
+def longer(gram: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams with one more token."""
+    return mix(gram * U64(0x9E3779B97F4A7C15) + token)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        totals = [np.zeros(len(k), np.int64) for k in wanted]
-        sides = [(np.zeros(len(k), U64), np.zeros(len(k), U64)) for k in wanted]
-        for h, offsets, _ in _rows(batches, True):
-            one, two, has_one, has_two = contexts(h, offsets)
-            for level, (context, token) in enumerate(((h, h), (one[has_one], h[has_one]), (two[has_two], h[has_two]))):
-                at, hit = _find(wanted[level], pair(context, token) if level else token)
-                at = at[hit]
-                totals[level] += np.bincount(at, minlength=len(wanted[level]))
-                sides[level][0][at], sides[level][1][at] = context[hit], token[hit]
-        for level, total in enumerate(totals):
-            some = np.flatnonzero(total)
-            longs = [pa.array(x[some].view(np.int64)) for x in (wanted[level], *sides[level])]
-            yield pa.record_batch([pa.array(np.full(len(some), level, np.int32)), *longs, pa.array(total[some])], names=["level", "key", "context", "token", "count"])
-
-    counted = docs.mapInArrow(run, "level int, key long, context long, token long, count long")
-    return counted.groupBy("level", "key").agg(F.sum("count").alias("count"), F.first("context").alias("context"), F.first("token").alias("token"))
-
-
-def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each x would be in the sorted known, and whether it is there."""
-    if not len(known):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return at, known[at] == x
-
-
-class Tree:
-    """Root counts of frequent words; explicit pairs and left-over mass of each state of depth one and two."""
-
-    def __init__(self, n: int, v: int, words, pairs):
-        """words: sorted keys, counts. pairs: for depth one and two, sorted keys, contexts, tokens, counts."""
-        self.n, self.v = n, v
-        self.words, self.counts = words
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        known = [(self.words, self.counts), (pairs[0][0], pairs[0][3])]
-        for depth in (0, 1):
-            key, context, token, count = pairs[depth]
-            at, hit = _find(known[depth][0], context)
-            key, context, token, count, of = key[hit], context[hit], token[hit], count[hit], known[depth][1][at[hit]]
-            p = np.maximum(count - DISCOUNT, 0) / of
-            states, place = np.unique(context, return_inverse=True)
-            rest = np.maximum(1 - np.bincount(place, p, len(states)), 1e-12)
-            total = np.bincount(place, of, len(states)) / np.maximum(np.bincount(place, minlength=len(states)), 1)
-            # a context's suffix drops its first word; of depth one the suffix is the root
-            parent = self._root(token)
-            if depth:
-                parent = self._at_one(self._suffix_of(context, pairs[0]), token, parent)
-            here = p + rest[place] * parent
-            gain = total * np.bincount(place, here * np.log(here / parent), len(states))
-            gain += total * rest * np.log(rest) * (1 - np.bincount(place, parent, len(states))).clip(0)
-            keep = gain >= GAIN
-            order = np.argsort(key[keep[place]])
-            self.levels.append((key[keep[place]][order], p[keep[place]][order], states[keep], rest[keep]))
-
-    def _root(self, token: np.ndarray) -> np.ndarray:
-        at, hit = _find(self.words, token)
-        return (np.where(hit, self.counts[at] if len(self.counts) else 0, 0) + ALPHA) / (self.n + ALPHA * (self.v + 1))
-
-    def _suffix_of(self, context: np.ndarray, first_pairs) -> np.ndarray:
-        """The last word of contexts of two words (themselves pairs of the first level)."""
-        at, _ = _find(first_pairs[0], context)
-        return first_pairs[2][at]
-
-    def _at_one(self, context: np.ndarray, token: np.ndarray, root: np.ndarray) -> np.ndarray:
-        factor, explicit, _ = self.step(0, context, pair(context, token))
-        return explicit + factor * root
-
-    def step(self, depth: int, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The factor on the suffix's probability, the explicit mass, and whether the context is a state."""
-        keys, p, states, rest = self.levels[depth]
-        at, state = _find(states, context)
-        factor = np.where(state, rest[at] if len(rest) else 1.0, 1.0)
-        where, hit = _find(keys, key)
-        return factor, np.where(hit & state, p[where] if len(p) else 0.0, 0.0), state
-
-
-def learn(docs: DataFrame, rate: float = RATE) -> tuple[Tree, np.ndarray]:
-    """The tree but for V (0 so far), and the frequent words' hashes."""
-    spark = docs.sparkSession
-    reported = written(_reported(docs, rate), f"{folder(spark)}/reported")
-    n = reported.where("level = -1").agg(F.sum("count")).first()[0] or 0
-    sums = reported.where("level >= 0").groupBy("level", "key").agg(F.sum("count").alias("count"))
-    some = sums.where(F.col("count") >= max(LEAST, rate * n) / 2).select("level", "key").toPandas()
-    as_keys = lambda x: x.to_numpy(dtype=np.int64).view(U64)
-    wanted = [np.sort(as_keys(some[some["level"] == level]["key"])) for level in range(3)]
-    exact = _counted(docs, wanted).where(F.col("count") >= max(LEAST, rate * n)).toPandas()
-    found = []
-    for level in range(3):
-        part = exact[exact["level"] == level]
-        order = np.argsort(as_keys(part["key"]))
-        found.append((*(as_keys(part[x])[order] for x in ("key", "context", "token")), part["count"].to_numpy(dtype=np.int64)[order]))
-    return Tree(int(n), 0, (found[0][0], found[0][3]), found[1:]), found
-
-
-def _tails(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """doc_id and the hashes and counts, as bytes, of each text's words that aren't frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, offsets, ids in _rows(batches, False):
-            _, known = _find(shared.value, h)
-            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            some = np.flatnonzero(~known)
-            order = some[np.lexsort((h[some], row[some]))]
-            key, owner = h[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(owner[first], np.arange(len(offsets)))
-            packed = np.empty(len(first), dtype=[("h", "<u8"), ("c", "<u4")])
-            packed["h"], packed["c"] = key[first], np.diff(np.append(first, len(key)))
-            tail = [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.record_batch([ids, pa.array(tail, pa.binary())], names=["doc_id", "tail"])
-
-    return docs.mapInArrow(run, "doc_id long, tail binary")
-
-
-def _scored(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Each text's sums over frequent words, and what contexts leave to its other words."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        size = t.n + ALPHA * (t.v + 1)
-        for h, offsets, ids in _rows(batches, False):
-            one, two, has_one, has_two = contexts(h, offsets)
-            at, known = _find(t.words, h)
-            root = np.where(known, (t.counts[at] if len(t.counts) else 0) + ALPHA, 0.0)
-            base = np.log10(np.where(known, root, 1.0))
-            root = root / size
-            f1, e1, _ = t.step(0, one, pair(one, h))
-            f2, e2, _ = t.step(1, two, pair(two, h))
-            f1, e1 = np.where(has_one, f1, 1.0), np.where(has_one, e1, 0.0)
-            f2, e2 = np.where(has_two, f2, 1.0), np.where(has_two, e2, 0.0)
-            p = e2 + f2 * (e1 + f1 * root)
-            local = np.log10(np.where(known, p, f2 * f1))
-            sums = [np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0) for x in (base, local)]
-            n_known = np.add.reduceat(known.astype(np.int64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
-            yield pa.record_batch([ids, pa.array(np.diff(offsets)), pa.array(n_known), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
-
-    return docs.mapInArrow(run, OUT)
-
-
-def _tail_rows(scored: DataFrame) -> DataFrame:
-    """h, doc_id, c and train: one row for each tail word of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                blobs = part.column(1).to_pylist()
-                packed = np.frombuffer(b"".join(blobs), dtype=[("h", "<u8"), ("c", "<u4")])
-                size = [len(b) // 12 for b in blobs]
-                ids = np.repeat(np.asarray(part.column(0)), size)
-                train = np.repeat(_train(part.column(0)), size)
-                h = np.ascontiguousarray(packed["h"]).view(np.int64)
-                count = packed["c"].astype(np.int64)
-                yield pa.record_batch([pa.array(h), pa.array(ids), pa.array(np.where(train, count, -count))], names=["h", "doc_id", "c"])
-
-    return scored.select("doc_id", "tail").mapInArrow(run, "h long, doc_id long, c long")
-
-
-def _bounded(docs: DataFrame, rate: float) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark, base = docs.sparkSession, folder(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    tree, found = learn(docs, rate)
-    # V enters root probabilities only as ALPHA * (V + 1) beside N: it is needed before scores are, so tail words are counted first
-    scored = written(_tails(docs, tree.words), f"{base}/tail")
-    tails = _tail_rows(scored).repartition("h")
-    counts = tails.groupBy("h").agg(F.sum(F.when(F.col("c") > 0, F.col("c")).otherwise(0)).alias("n"))
-    value = F.log10(F.col("n") + F.lit(ALPHA))
-    met = tails.join(counts, "h").groupBy("doc_id").agg(
-        F.sum(F.abs("c") * value).alias("tail_base"), F.sum(F.when(F.col("n") > 0, F.abs("c")).otherwise(0)).alias("tail_known"),
-        F.sum(F.when((F.col("n") > 0) & (F.col("c") > 0), F.col("c") / F.col("n"))).alias("shares"),
-    )
-    by_doc = written(met, f"{base}/met")
-    # each known tail word's training rows have shares that add up to 1, so the shares of all documents add up to the number of known tail words
-    rare = round(by_doc.agg(F.sum("shares")).first()[0] or 0)
-    tree = Tree(tree.n, len(found[0][0]) + rare, (found[0][0], found[0][3]), found[1:])
-    size = float(np.log10(tree.n + ALPHA * (tree.v + 1)))
-    final = _scored(docs, tree).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    out = final.join(by_doc, "doc_id", "left")
-    tail = F.coalesce("tail_base", F.lit(0.0))
-    tail_tokens = F.col("n_tokens") - F.col("n_known")
-    return out.select(
-        "doc_id", _held_out(), "n_tokens",
-        (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + tail - F.col("n_tokens") * F.lit(size)).alias("base_score"), (F.col("score") + tail - tail_tokens * F.lit(size)).alias("score"),
-    )
+def trains(ids) -> np.ndarray:
+    """Which ids' texts the model learns from."""
+    return np.fromiter((zlib.crc32(str(i).encode()) % 10 != 0 for i in ids), bool, len(ids))
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers, smaller than 2**32 mostly, as compressed planes of bytes."""
+    """Numbers as compressed planes of bytes."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
     return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
@@ -350,184 +86,199 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size // width).T).view(kind).reshape(-1)
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _first(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n codes comes first."""
+    first = np.zeros(n, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket, and their buckets in it."""
+    bucket = (keys % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order].astype(np.int64)
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Texts in chunks: their ids and offsets, the chunk's distinct words, and each token as an index into those."""
+    """Texts in chunks: their ids and sizes, the chunk's distinct words, and each token as an index into those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId() << 32, 0
+        part, made, n = TaskContext.get().partitionId() << 32, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def chunk() -> pa.RecordBatch:
-            nonlocal held, made
+            nonlocal held, made, n
             h, size, ids = (np.concatenate(x) for x in zip(*held))
-            words, at, often = np.unique(h, return_inverse=True, return_counts=True)
-            order = np.argsort(-often, kind="stable")
+            at, words = pd.factorize(h)
+            order = np.argsort(-np.bincount(at), kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
-            blobs = [packed(ids), packed(size), words[order].tobytes(), packed(rank[at.reshape(-1)])]
-            held, made = [], made + 1
-            return pa.record_batch([pa.array([part + made]), pa.array([len(h)]), *[pa.array([x], pa.binary()) for x in blobs]], names=["chunk", "n", "ids", "size", "words", "at"])
-
-        for h, offsets, ids in _rows(batches, False):
-            held.append((h, np.diff(offsets), np.asarray(ids, dtype=np.int64)))
-            if sum(len(x[0]) for x in held) >= CHUNK:
-                yield chunk()
+            blobs = [packed(ids), packed(size), words[order].tobytes(), packed(rank[at])]
+            held, made, n = [], made + 1, 0
+            longs = [pa.array([x], pa.int64()) for x in (part + made, len(h), int(size[trains(ids.tolist())].sum()))]
+            return pa.record_batch([*longs, *[pa.array([x], pa.binary()) for x in blobs]], names=_names(CHUNKS))
+
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                h, offsets = tokens(block)
+                held.append((h, np.diff(offsets), np.asarray(batch.column(0).slice(block.first, len(block)), dtype=np.int64)))
+                n += len(h)
+                if n >= CHUNK:
+                    yield chunk()
         if held:
             yield chunk()
 
-    return docs.mapInArrow(run, "chunk long, n long, ids binary, size binary, words binary, at binary")
-
-
-def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys, where each key is among them, and the sums of their weights."""
-    found, at = np.unique(keys, return_inverse=True)
-    at = at.reshape(-1)
-    return found, at, np.bincount(at, weights=weight, minlength=len(found)).astype(np.int64)
+    return docs.mapInArrow(run, CHUNKS)
 
 
 class _Chunk:
-    """What a chunk knows after the answers so far. Questions: 0 counts of words, 1 of pairs, 2 states of one word, 3 counts of triples, 4 states of two words."""
+    """A chunk's tokens, and what the answers so far tell of them.
 
-    def __init__(self, table: pa.Table, answers: pa.Table, buckets: int):
+    Question 0 asks for counts of words, 2 d - 1 for counts of n-grams of d + 1 words, 2 d for what states of d words leave.
+    """
+
+    def __init__(self, table: pa.Table, answers: pa.Table | None, buckets: int, size: float):
         blob = lambda name, kind: unpacked(table.column(name)[0].as_py(), kind)
-        self.buckets, self.ids, self.size = buckets, blob("ids", np.int64), blob("size", np.int64)
+        self.id, self.buckets, self.total = table.column("chunk")[0].as_py(), buckets, size
+        self.ids, self.size = blob("ids", np.int64), blob("size", np.int64)
         self.words, self.at = np.frombuffer(table.column("words")[0].as_py(), U64), blob("at", np.uint32).astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.size)])
-        self.training = np.repeat(_train(pa.array(self.ids)), self.size)
+        self.training = np.repeat(trains(self.ids.tolist()), self.size).astype(np.float64)
         self.answers: dict[int, list] = {}
-        for question, bucket, kind, values in zip(*(answers.column(c).to_pylist() for c in ("question", "bucket", "kind", "answer"))):
-            self.answers.setdefault(question, []).append((bucket, unpacked(values, kind)))
-
-    def dealt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bucket = (keys % U64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, bucket[order]
+        for question, bucket, kind, values in zip(*(answers.column(c).to_pylist() for c in ("question", "bucket", "kind", "answer"))) if answers else ():
+            self.answers.setdefault(question, []).append((bucket, kind, values))
 
     def told(self, question: int, keys: np.ndarray, kind) -> np.ndarray:
         out = np.zeros(len(keys), kind)
         if len(keys):
-            out[self.dealt(keys)[0]] = np.concatenate([x for _, x in sorted(self.answers[question], key=lambda x: x[0])])
+            parts = sorted(self.answers.pop(question), key=lambda x: x[0])
+            out[_dealt(keys, self.buckets)[0]] = np.concatenate([unpacked(values, k) for _, k, values in parts])
         return out
 
     def to(self, question: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of a question and their training counts here; before it, all that earlier answers tell."""
-        at, n = self.at, len(self.at)
+        """The keys of a question, and their training counts here. Before it, all that earlier answers tell."""
+        at, n, h = self.at, len(self.at), self.words[self.at]
         if question == 0:
             return self.words, np.bincount(at, weights=self.training, minlength=len(self.words)).astype(np.int64)
-        self.count = (self.told(0, self.words, np.int64) >> 1)[at]  # of each token
+        count = (self.told(0, self.words, np.int64) >> 1)[at]  # of the n-gram of d words that each token ends
+        self.known = count > 0
+        self.root = (count + ALPHA) / self.total if self.total else None
+        self.p, gram, depth = self.root, h, 1
         place = np.arange(n) - np.repeat(self.offsets[:-1], self.size)
-        usable = self.count >= LEAST
-        has = np.zeros(n, bool)
-        has[1:] = (place[1:] >= 1) & usable[1:] & usable[:-1]
-        self.second = np.flatnonzero(has)  # tokens that end a pair asked for
-        h = self.words[at]
-        pairs, of, here = _distinct(pair(h[self.second - 1], h[self.second]), self.training[self.second])
-        if question == 1:
-            return pairs, here
-        told = self.told(1, pairs, np.int64)
-        self.pair_count, self.pair_key = np.zeros(n, np.int64), np.zeros(n, U64)
-        self.pair_count[self.second], self.pair_key[self.second] = told[of] >> 1, pairs[of]
-        first = np.zeros(len(pairs), np.int64)
-        first[of[::-1]] = self.second[::-1]
-        self.pair_rows = first[(told & 1 == 1) & (told >> 1 >= LEAST)]
-        if question == 2:
-            return self.words, np.zeros(len(self.words), np.int64)
-        rest = self.told(2, self.words, np.float64)[at] if 2 in self.answers else np.full(n, np.nan)
-        self.before = np.full(n, np.nan)  # what the state of the word before leaves, where that is a state
-        self.before[1:] = np.where(place[1:] >= 1, rest[:-1], np.nan)
-        has = np.zeros(n, bool)
-        has[2:] = (place[2:] >= 2) & (self.pair_count[2:] >= LEAST) & (self.pair_count[1:-1] >= LEAST)
-        self.third = np.flatnonzero(has)
-        triples, of, here = _distinct(pair(self.pair_key[self.third - 1], h[self.third]), self.training[self.third])
-        if question == 3:
-            return triples, here
-        told = self.told(3, triples, np.int64)
-        self.triple_count = np.zeros(n, np.int64)
-        self.triple_count[self.third] = told[of] >> 1
-        first = np.zeros(len(triples), np.int64)
-        first[of[::-1]] = self.third[::-1]
-        self.triple_rows = first[(told & 1 == 1) & (told >> 1 >= LEAST)]
-        states = np.unique(self.pair_key[self.pair_count >= LEAST])
-        if question == 4:
-            return states, np.zeros(len(states), np.int64)
-        rest = self.told(4, states, np.float64)
-        self.before_two = np.full(n, np.nan)
-        at_two = np.flatnonzero((place >= 2) & (np.roll(self.pair_count, 1) >= LEAST))
-        self.before_two[at_two] = rest[np.searchsorted(states, self.pair_key[at_two - 1])]
-        return states, states
-
-    def at_one(self, root: np.ndarray) -> np.ndarray:
-        """Each token's probability after the word before."""
-        shown = np.zeros(len(root))
-        some = np.flatnonzero((self.pair_count >= LEAST) & ~np.isnan(self.before))
-        shown[some] = (self.pair_count[some] - DISCOUNT) / self.count[some - 1]
-        return shown + np.where(np.isnan(self.before), 1.0, self.before) * root
-
-    def at_two(self, parent: np.ndarray) -> np.ndarray:
-        shown = np.zeros(len(parent))
-        some = np.flatnonzero((self.triple_count >= LEAST) & ~np.isnan(self.before_two))
-        shown[some] = (self.triple_count[some] - DISCOUNT) / self.pair_count[some - 1]
-        return shown + np.where(np.isnan(self.before_two), 1.0, self.before_two) * parent
-
-
-ANSWERS = "chunk long, question int, bucket long, kind string, answer binary"
-
+        follows = place >= 1  # tokens whose context of depth words can be a state
+        while True:
+            follows[1:] &= count[:-1] >= LEAST
+            some = np.flatnonzero(follows & (count >= LEAST))
+            codes, grams = pd.factorize(longer(gram[some - 1], h[some]))
+            if question == 2 * depth - 1:
+                return grams, np.bincount(codes, weights=self.training[some], minlength=len(grams)).astype(np.int64)
+            told = self.told(2 * depth - 1, grams, np.int64)
+            then, next_gram = np.zeros(n, np.int64), np.zeros(n, U64)
+            then[some], next_gram[some] = (told >> 1)[codes], grams[codes]
+            after = np.flatnonzero(follows)
+            of, contexts = pd.factorize(gram[after - 1])
+            if question == 2 * depth:
+                rows = some[_first(codes, len(grams))[(told & 1 == 1) & (told >> 1 >= LEAST)]]
+                self.rows = gram[rows - 1], (then[rows] - DISCOUNT) / count[rows - 1], self.p[rows], count[rows - 1]
+                return contexts, np.zeros(0, np.int64)
+            rest = self.told(2 * depth, contexts, np.float64)[of]
+            state = ~np.isnan(rest)
+            after, rest = after[state], rest[state]
+            if self.root is not None:
+                shown = np.where(then[after] >= LEAST, (then[after] - DISCOUNT) / count[after - 1], 0.0)
+                self.p = self.p.copy()
+                self.p[after] = shown + rest * self.p[after]
+            depth += 1
+            if question < 0 and not self.answers:
+                return contexts, np.zeros(0, np.int64)
+            follows = np.zeros(n, bool)
+            follows[after] = True
+            follows &= place >= depth
+            gram, count = next_gram, then
+
+
+def _with(chunks: DataFrame, answers: DataFrame | None, run, schema: str) -> DataFrame:
+    """run(chunk's row, its answers or None) for each chunk."""
+    if answers is not None:
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: run(a, b), schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from run(pa.Table.from_batches([batch.slice(k, 1)]), None).combine_chunks().to_batches()
 
-def _with(chunks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.mapInArrow(each, schema)
 
 
-def _asked(chunks: DataFrame, answers: DataFrame, question: int, buckets: int, states: DataFrame | None = None) -> DataFrame:
-    """The answers to a question: total count << 1 | whether this chunk is the first with the key, or what the states leave (NaN: no state)."""
-    counted = states is None
+def _asked(chunks: DataFrame, answers: DataFrame | None, question: int, buckets: int, size: float) -> DataFrame:
+    """kind 0: the keys that a chunk asks a bucket for. kind 1: with an even question, the rows of which states are made."""
 
-    def ask(table: pa.Table, known: pa.Table) -> pa.Table:
-        names = ["bucket", "chunk", "keys", "counts"]
-        if not table.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
-        c = _Chunk(table, known, buckets)
+    def ask(table: pa.Table, known: pa.Table | None) -> pa.Table:
+        c = _Chunk(table, known, buckets, size)
         keys, counts = c.to(question)
-        order, bucket = c.dealt(keys)
-        keys, counts = keys[order], counts[order].astype(np.uint32)
+        order, bucket = _dealt(keys, buckets)
+        keys, counts = keys[order], counts[order].astype(np.uint32) if len(counts) else counts
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         cuts = [*first.tolist(), len(bucket)]
-        blobs = [(keys[a:b].tobytes(), packed(counts[a:b]) if counted else b"") for a, b in zip(cuts[:-1], cuts[1:])]
-        of = np.full(len(first), table.column("chunk")[0].as_py())
-        return pa.table([pa.array(bucket[first]), pa.array(of), pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())], names=names)
-
-    def reply(table: pa.Table, values: list[np.ndarray], kind: str, more: int) -> pa.Table:
-        n = table.num_rows
-        of, bucket = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
-        if more >= 0:  # the number of keys with a count, under no chunk
-            of, bucket, values, n = [*of, -1], [*bucket, 0], [*values, np.array([more])], n + 1
-        kinds = ["<u4" if kind == "<i8" and (not len(v) or v.max() < 1 << 32) else kind for v in values]
-        blobs = [packed(v.astype(k)) for v, k in zip(values, kinds)]
-        return pa.table([pa.array(of, pa.int64()), pa.array(np.full(n, question, np.int32)), pa.array(bucket, pa.int64()), pa.array(kinds, pa.string()), pa.array(blobs, pa.binary())], names=[x.split()[0] for x in ANSWERS.split(", ")])
+        blobs = [(keys[a:b].tobytes(), packed(counts[a:b]) if len(counts) else b"") for a, b in zip(cuts[:-1], cuts[1:])]
+        rows = c.rows if question and question % 2 == 0 else (np.zeros(0, U64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
+        m, r = len(first), len(rows[0])
+        nothing = lambda n, kind: pa.nulls(n, kind)
+        asks = [pa.array(np.zeros(m, np.int32)), pa.array(bucket[first]), pa.array(np.full(m, c.id)), pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())]
+        asks += [nothing(m, pa.int64()), nothing(m, pa.float64()), nothing(m, pa.float64()), nothing(m, pa.int64())]
+        told = [pa.array(np.ones(r, np.int32)), nothing(r, pa.int64()), nothing(r, pa.int64()), nothing(r, pa.binary()), nothing(r, pa.binary())]
+        told += [pa.array(rows[0].view(np.int64)), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3])]
+        return pa.concat_tables([pa.table(x, names=_names(ASKED)) for x in (asks, told)])
+
+    return _with(chunks, answers, ask, ASKED)
+
+
+def _reply(table: pa.Table, question: int, values: list[np.ndarray], kind: str, more: int) -> pa.Table:
+    of, bucket = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
+    if more >= 0:  # the number of keys with a count, under no chunk
+        of, bucket, values = [*of, -1], [*bucket, 0], [*values, np.array([more])]
+    kinds = ["<u4" if kind == "<i8" and (not len(v) or v.max() < 1 << 32) else kind for v in values]
+    blobs = [packed(v.astype(k)) for v, k in zip(values, kinds)]
+    return pa.table([pa.array(of, pa.int64()), pa.array(np.full(len(of), question, np.int32)), pa.array(bucket, pa.int64()), pa.array(kinds, pa.string()), pa.array(blobs, pa.binary())], names=_names(ANSWERS))
+
+
+def _totals(asked: DataFrame, question: int) -> DataFrame:
+    """The answers to a question about counts: total count << 1 | whether the asking chunk is the first with the key."""
 
     def total(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
+        keys = [np.frombuffer(x.as_buffer(), U64) for x in table.column("keys")]
         counts = np.concatenate([unpacked(x, np.uint32) for x in table.column("counts").to_pylist()])
-        found, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        at = at.reshape(-1)
+        at, found = pd.factorize(np.concatenate(keys))
         sums = np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
         owns = np.zeros(len(at), np.int64)
-        owns[first] = 1
+        owns[_first(at, len(found))] = 1
         values = np.split(sums[at] << 1 | owns, np.cumsum([len(k) for k in keys])[:-1])
-        return reply(table, values, "<i8", int((sums > 0).sum()))
+        return _reply(table, question, values, "<i8", int((sums > 0).sum()) if question == 0 else -1)
+
+    return asked.select("bucket", "chunk", "keys", "counts").groupBy("bucket").applyInArrow(total, ANSWERS)
+
+
+def _leavings(asked: DataFrame, states: DataFrame, question: int) -> DataFrame:
+    """The answers to a question about states: what the state leaves to its suffix, NaN where the context isn't one."""
 
     def left(table: pa.Table, known: pa.Table) -> pa.Table:
         context, rest = known.column("context").to_numpy().view(U64), known.column("rest").to_numpy()
         order = np.argsort(context)
         context, rest = context[order], rest[order]
         values = []
-        for x in table.column("keys").to_pylist():
-            at, hit = _find(context, np.frombuffer(x, U64))
-            values.append(np.where(hit, rest[at] if len(rest) else np.nan, np.nan))
-        return reply(table, values, "<f8", -1)
+        for x in table.column("keys"):
+            keys = np.frombuffer(x.as_buffer(), U64)
+            at = np.minimum(np.searchsorted(context, keys), max(len(context) - 1, 0))
+            values.append(np.where(context[at] == keys, rest[at], np.nan) if len(context) else np.full(len(keys), np.nan))
+        return _reply(table, question, values, "<f8", -1)
 
-    asked = _with(chunks, answers, ask, "bucket long, chunk long, keys binary, counts binary").groupBy("bucket")
-    return asked.applyInArrow(total, ANSWERS) if counted else asked.cogroup(states.groupBy("bucket")).applyInArrow(left, ANSWERS)
+    return asked.select("bucket", "chunk", "keys").groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(left, ANSWERS)
 
 
 def _states(rows: DataFrame, buckets: int) -> DataFrame:
@@ -541,72 +292,34 @@ def _states(rows: DataFrame, buckets: int) -> DataFrame:
     return kept.select(bucket.alias("bucket"), "context", "rest")
 
 
-def _whole(docs: DataFrame) -> tuple[DataFrame, int]:
-    """OUT by the tree of all pairs with LEAST occurrences, and N."""
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and depth of the tree, for every document."""
     base = folder(docs.sparkSession)
-    chunks = written(_chunks(docs), f"{base}/chunks")
-    buckets = max(64, int(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET_KEYS)
-    answers = docs.sparkSession.createDataFrame([], ANSWERS)
-
-    def more(question: int, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        new = written(_asked(chunks, answers, question, buckets, states), f"{base}/answers{question}")
-        return answers.unionByName(new.where("chunk >= 0")), new.where("chunk = -1")
-
-    def training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(unpacked(s, np.int64)[_train(pa.array(unpacked(i, np.int64)))].sum()) for i, s in zip(*(batch.column(k).to_pylist() for k in (0, 1)))]
-            yield pa.record_batch([pa.array(n, pa.int64())], names=["n"])
-
-    n = int(chunks.select("ids", "size").mapInArrow(training, "n long").agg(F.sum("n")).first()[0] or 0)
-    answers, seen = more(0)
-    v = sum(int(unpacked(r["answer"], r["kind"])[0]) for r in seen.select("kind", "answer").toLocalIterator())
-    size = n + ALPHA * (v + 1)
-
-    def rows(depth: int):
-        def run(table: pa.Table, known: pa.Table) -> pa.Table:
-            names = ["context", "p", "parent", "of"]
-            if not table.num_rows:
-                return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.float64())] * 2, pa.array([], pa.int64())], names=names)
-            c = _Chunk(table, known, buckets)
-            c.to(2 if depth == 1 else 4)
-            root = (c.count + ALPHA) / size
-            at = c.pair_rows if depth == 1 else c.triple_rows
-            if depth == 1:
-                context, count, of, parent = c.words[c.at[at - 1]], c.pair_count[at], c.count[at - 1], root[at]
-            else:
-                context, count, of, parent = c.pair_key[at - 1], c.triple_count[at], c.pair_count[at - 1], c.at_one(root)[at]
-            return pa.table([pa.array(context.view(np.int64)), pa.array((count - DISCOUNT) / of), pa.array(parent), pa.array(of)], names=names)
-
-        return run
-
-    for depth in (1, 2):
-        answers, _ = more(2 * depth - 1)
-        shown = written(_with(chunks, answers, rows(depth), "context long, p double, parent double, of long"), f"{base}/shown{depth}")
-        answers, _ = more(2 * depth, written(_states(shown, buckets), f"{base}/states{depth}"))
+    chunks = written(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())), f"{base}/chunks")
+    n_all, n_train = (int(x or 0) for x in chunks.agg(F.sum("n"), F.sum("n_train")).first())
+    buckets = max(64, n_all // BUCKET_KEYS)
+
+    first = written(_totals(_asked(chunks, None, 0, buckets, 0.0), 0), f"{base}/answers0")
+    v = sum(int(unpacked(r["answer"], r["kind"])[0]) for r in first.where("chunk = -1").select("kind", "answer").toLocalIterator())
+    size, answers, depth = n_train + ALPHA * (v + 1), first.where("chunk >= 0"), 0
+    while True:
+        question = 2 * depth + 1
+        counts = written(_totals(_asked(chunks, answers, question, buckets, size), question), f"{base}/answers{question}")
+        if not counts.limit(1).count():
+            break
+        asked = written(_asked(chunks, answers.unionByName(counts), question + 1, buckets, size), f"{base}/asked{question}")
+        states = written(_states(asked.where("kind = 1").select("context", "p", "parent", "of"), buckets), f"{base}/states{question}")
+        if not states.limit(1).count():
+            break
+        left = written(_leavings(asked.where("kind = 0"), states, question + 1), f"{base}/answers{question + 1}")
+        answers, depth = answers.unionByName(counts).unionByName(left), depth + 1
+        remove(docs.sparkSession, f"{base}/asked{question}")
 
     def final(table: pa.Table, known: pa.Table) -> pa.Table:
-        names = [x.split()[0] for x in OUT.split(", ")]
-        if not table.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())] * 2, names=names)
-        c = _Chunk(table, known, buckets)
-        c.to(5)
-        root = (c.count + ALPHA) / size
-        p = c.at_two(c.at_one(root))
-        sums = [np.add.reduceat(x, c.offsets[:-1]) for x in ((c.count > 0).astype(np.int64), np.log10(root), np.log10(p))]
-        return pa.table([pa.array(x) for x in (c.ids, c.size, *sums)], names=names)
-
-    release(docs.sparkSession)
-    return _with(chunks, answers, final, OUT), n
-
-
-def _held_out() -> Column:
-    return (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).alias("held_out")
-
-
-def score(docs: DataFrame, rate: float | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; with a rate, by the bounded model in memory."""
-    if rate is not None:
-        return _bounded(docs, rate)
-    scored, n = _whole(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull()))
-    out = scored.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return out.select("doc_id", _held_out(), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+        c = _Chunk(table, known, buckets, size)
+        c.to(-1 if depth else 1)
+        sums = [np.add.reduceat(x, c.offsets[:-1]) for x in (c.known.astype(np.int64), np.log10(c.root), np.log10(c.p))]
+        return pa.table([pa.array(x) for x in (c.ids, c.size, *sums)], names=_names(OUT))
+
+    held_out = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).alias("held_out")
+    return _with(chunks, answers, final, OUT).select("doc_id", held_out, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", F.lit(depth).alias("depth"))

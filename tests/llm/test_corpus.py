@@ -126,46 +126,62 @@ def test_lm_base(spark, odd_docs, no_docs):
     assert lm.score(no_docs).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    rng = random.Random(6)
-    sequences = [[rng.choice("ab")] for _ in range(300)]
-    for s in sequences:
-        while len(s) < 12:
-            s.append({"a": "b", "b": "c", "c": "a", "d": "a"}[s[-1]] if rng.random() < 0.9 else rng.choice("abcd"))
-    df = spark.createDataFrame([(k, " ".join(s)) for k, s in enumerate(sequences)], "doc_id long, text string")
-    tree, found = lm.learn(df, rate=1e-4)
-    tree = lm.Tree(tree.n, len(found[0][0]), (found[0][0], found[0][3]), found[1:])
-    assert len(tree.levels[0][2]) >= 3
-    vocabulary = found[0][0]
-    for a in vocabulary:
-        for before in (None, *vocabulary):
-            one = np.full(len(vocabulary), a)
-            f1, e1, _ = tree.step(0, one, lm.pair(one, vocabulary))
-            p = e1 + f1 * tree._root(vocabulary)
-            rest = f1[0] * (1 - tree._root(vocabulary).sum())
-            if before is not None:
-                two = lm.pair(np.full(len(vocabulary), before), one)
-                f2, e2, _ = tree.step(1, two, lm.pair(two, vocabulary))
-                p, rest = e2 + f2 * p, f2[0] * rest
-            assert p.sum() + rest == pytest.approx(1, abs=1e-9)
-    out = lm.score(df, rate=1e-4).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    assert out["sum(score)"] > 0.8 * out["sum(base_score)"]  # nearer to 0: order helps
-
-
-def test_lm_keeps_pairs_by_an_absolute_count(spark):
-    """The model of a larger corpus is the one with every pair of LEAST occurrences, in however many chunks and with tail words in pairs."""
-    rng = np.random.default_rng(3)
-    rows = []
-    for k in range(300):
-        words = rng.zipf(1.2, 4700) % 30_000
-        words[rng.random(4700) < 0.3] = k % 60 + 40_000
-        rows.append((k, " ".join(f"w{x} rare{x % 4000} then{x % 4000}" if x % 50 == 0 else f"w{x}" for x in words)))
-    df = spark.createDataFrame([*rows, (5, "w1 w2 w1 w2"), (7_000, None)], "doc_id long, text string").repartition(3)
-    got, want = ({r["doc_id"]: r for r in out.collect()} for out in (lm.score(df), lm.score(df, rate=0.0)))
-    assert got[1]["train_tokens"] * lm.RATE > lm.LEAST and got.keys() == want.keys()
-    for i, r in got.items():
-        assert r[:5] == want[i][:5]
-        assert r["base_score"] == pytest.approx(want[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(want[i]["score"], rel=1e-9)
+def brute_lm(rows):
+    """(score of each text, depth of the tree) from the definition, and the probability of a word after a context."""
+    texts = [(zlib.crc32(str(i).encode()) % 10 != 0, [*tokens(t), None]) for i, t in rows]
+    n = collections.Counter(tuple(ts[k : k + g]) for train, ts in texts if train for g in range(1, 12) for k in range(len(ts) - g + 1))
+    total, v = sum(c for g, c in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
+    states, memory = {(): 1.0}, {}
+
+    def counted(g):
+        return len(g) < 3 or counted(g[:-1]) and counted(g[1:]) and g[1:-1] in states
+
+    def p(c, w):
+        if not c:
+            return (n[(w,)] + 0.1) / (total + 0.1 * (v + 1))
+        if c not in states:
+            return p(c[1:], w)
+        if (c, w) not in memory:
+            shown = (n[(*c, w)] - 0.5) / n[c] if n[(*c, w)] >= lm.LEAST else 0
+            memory[c, w] = shown + states[c] * p(c[1:], w)
+        return memory[c, w]
+
+    for depth in range(1, 10):
+        new, after = {}, collections.defaultdict(list)
+        for g in n:
+            if len(g) == depth + 1 and n[g] >= lm.LEAST:
+                after[g[:-1]].append(g[-1])
+        for c, following in after.items():
+            if c[1:] in states and counted(c):
+                shown = {w: (n[(*c, w)] - 0.5) / n[c] for w in following}
+                rest, parent = max(1 - sum(shown.values()), 1e-12), {w: p(c[1:], w) for w in following}
+                gain = sum((x + rest * parent[w]) * math.log((x + rest * parent[w]) / parent[w]) for w, x in shown.items())
+                if n[c] * (gain + rest * math.log(rest) * max(1 - sum(parent.values()), 0)) >= lm.GAIN:
+                    new[c] = rest
+        if not new:
+            break
+        states.update(new)
+    scores = [sum(math.log10(p(tuple(ts[max(0, k - 9) : k]), w)) for k, w in enumerate(ts)) for _, ts in texts]
+    return scores, max(map(len, states)), p, [g[0] for g in n if len(g) == 1]
+
+
+@pytest.mark.parametrize("chunk, bucket", [(500_000, 1_000_000), (150, 40)])
+def test_lm_is_the_suffix_tree_of_the_definition(spark, monkeypatch, chunk, bucket):
+    """Contexts of any length, in one chunk and in many, with unseen words, ties and rows that repeat an id."""
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "BUCKET_KEYS", bucket)
+    rng = random.Random(4)
+    passages = [words(rng, 30, 14).split() for _ in range(8)]
+    rows = [(k, " ".join(w if rng.random() < 0.97 else f"rare{rng.randrange(300)}" for w in rng.choice(passages)[rng.randrange(12) :])) for k in range(240)]
+    rows += [(7, "w1 w2 w3 w1 w2 w3"), (9_000, None), (9_001, "unseen WORDS w1")]
+    scores, depth, p, vocabulary = brute_lm(rows)
+    assert depth >= 3
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["depth"] for r in got} == {depth} and len(got) == len(rows)
+    assert sorted((r["doc_id"], round(r["score"], 8)) for r in got) == sorted((i, round(x, 8)) for (i, _), x in zip(rows, scores))
+    assert sum(r["score"] for r in got if r["held_out"]) > 0.8 * sum(r["base_score"] for r in got if r["held_out"])  # nearer to 0: order helps
+    for context in [(), *(tuple(passages[0][k : k + g]) for k in (0, 5) for g in (1, 2, 3, 5))]:
+        assert sum(p(context, w) for w in vocabulary) + p(context, "never seen") == pytest.approx(1, abs=1e-9)
 
 
 # personal data
@@ -383,10 +399,9 @@ def test_links_on_odd_input(odd_docs, no_docs):
     assert kept.count(None) == 2 and 6 not in kept and kept.count(5) == 1  # equal rows are copies
 
 
-@pytest.mark.parametrize("spokes", [1, 256])
-def test_rows_that_repeat_an_id(spark, monkeypatch, spokes):
+def test_rows_that_repeat_an_id(spark, monkeypatch):
     """Rows of one id with other texts are documents of their own: no text is lost, and one row of each group stays."""
-    monkeypatch.setattr(jaccard, "SPOKES", spokes)
+    monkeypatch.setattr(jaccard, "SPOKES", 1)
     monkeypatch.setattr(_joins, "BROADCAST_ROWS", 2)
     rng = random.Random(3)
     a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
