@@ -18,7 +18,9 @@ by hash, totalled over all chunks, and answered in the order asked. For each dep
 are two: the counts of the (context, next) n-grams of d + 1 words, asked only if the n-grams of d words in it
 occur LEAST times and the context's suffix is a state; and what the contexts' states leave. The first chunk
 that has an n-gram gives the row from which its context's state is computed. No key
-is hot: a chunk asks once for each. Depths follow until the test retains no context.
+is hot: a chunk asks once for each. Depths follow until the test retains no context. From
+depth DEEP on, only the tokens go on whose context may still be a state there (a few in a hundred); what is
+needed of them is written for each depth, and the others' scores are summed.
 
 Words and contexts are 64-bit hashes. A chunk holds whole texts, so a text takes about
 200 bytes of a Python worker for each of its tokens.
@@ -50,10 +52,14 @@ LEAST = 4
 DISCOUNT = 0.5
 GAIN = 12.0
 ALPHA = 0.1
+DEEP = 4
 END = U64(0x3C6EF372FE94F82B)
 OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 CHUNKS = "chunk long, n long, n_train long, ids binary, size binary, words binary, at binary"
 ASKED = "kind int, bucket long, chunk long, keys binary, counts binary, context long, p double, parent double, of long"
+FRONT = "texts long, row binary, pos binary, token binary, train binary, p binary, gram binary, of binary, own binary"
+FRONT_KINDS = {"row": np.uint32, "pos": np.uint32, "token": np.uint64, "train": np.uint8, "p": np.float64, "gram": np.uint64, "of": np.int64, "own": np.int64}
+DONE = "chunk long, ids binary, size binary, known binary, base binary, score binary"
 ANSWERS = "chunk long, question int, bucket long, kind string, answer binary"
 
 
@@ -136,23 +142,18 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, CHUNKS)
 
 
-class _Chunk:
-    """A chunk's tokens, and what the answers so far tell of them.
-
-    Question 0 asks for counts of words, 2 d - 1 for counts of n-grams of d + 1 words, 2 d for what states of d words leave.
-    """
+class _Asker:
+    """One who asks buckets for keys, and has the answers so far."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table | None, buckets: int, size: float):
-        blob = lambda name, kind: unpacked(table.column(name)[0].as_py(), kind)
-        self.id, self.buckets, self.total = table.column("chunk")[0].as_py(), buckets, size
-        self.ids, self.size = blob("ids", np.int64), blob("size", np.int64)
-        self.words, self.at = np.frombuffer(table.column("words")[0].as_py(), U64), blob("at", np.uint32).astype(np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
-        self.training = np.repeat(trains(self.ids.tolist()), self.size).astype(np.float64)
+    def __init__(self, table: pa.Table, answers: pa.Table | None, buckets: int):
+        self.table, self.id, self.buckets = table, table.column("chunk")[0].as_py(), buckets
         self.answers: dict[int, list] = {}
         for question, bucket, kind, values in zip(*(answers.column(c).to_pylist() for c in ("question", "bucket", "kind", "answer"))) if answers else ():
             self.answers.setdefault(question, []).append((bucket, kind, values))
 
+    def blob(self, name: str, kind) -> np.ndarray:
+        return unpacked(self.table.column(name)[0].as_py(), kind)
+
     def told(self, question: int, keys: np.ndarray, kind) -> np.ndarray:
         out = np.zeros(len(keys), kind)
         if len(keys):
@@ -160,6 +161,22 @@ class _Chunk:
             out[_dealt(keys, self.buckets)[0]] = np.concatenate([unpacked(values, k) for _, k, values in parts])
         return out
 
+
+class _Chunk(_Asker):
+    """A chunk's tokens, and what the answers so far tell of them.
+
+    Question 0 asks for counts of words, 2 d - 1 for counts of n-grams of d + 1 words, 2 d for what states of d words leave;
+    question -1 comes after the last answer, or at depth until.
+    """
+
+    def __init__(self, table: pa.Table, answers: pa.Table | None, buckets: int, size: float, until: int = 0):
+        super().__init__(table, answers, buckets)
+        self.total, self.until = size, until
+        self.ids, self.size = self.blob("ids", np.int64), self.blob("size", np.int64)
+        self.words, self.at = np.frombuffer(table.column("words")[0].as_py(), U64), self.blob("at", np.uint32).astype(np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
+        self.training = np.repeat(trains(self.ids.tolist()), self.size).astype(np.float64)
+
     def to(self, question: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys of a question, and their training counts here. Before it, all that earlier answers tell."""
         at, n, h = self.at, len(self.at), self.words[self.at]
@@ -173,6 +190,11 @@ class _Chunk:
         follows = place >= 1  # tokens whose context of depth words can be a state
         while True:
             follows[1:] &= count[:-1] >= LEAST
+            if depth == self.until:
+                i = np.flatnonzero(follows)
+                row = np.repeat(np.arange(len(self.size)), self.size)[i]
+                self.front = {"row": row, "pos": i, "token": h[i], "train": self.training[i], "p": self.p[i], "gram": gram[i - 1], "of": count[i - 1], "own": count[i]}
+                return self.words[:0], count[:0]
             some = np.flatnonzero(follows & (count >= LEAST))
             codes, grams = pd.factorize(longer(gram[some - 1], h[some]))
             if question == 2 * depth - 1:
@@ -194,14 +216,56 @@ class _Chunk:
                 self.p = self.p.copy()
                 self.p[after] = shown + rest * self.p[after]
             depth += 1
-            if question < 0 and not self.answers:
-                return contexts, np.zeros(0, np.int64)
             follows = np.zeros(n, bool)
             follows[after] = True
             follows &= place >= depth
             gram, count = next_gram, then
 
 
+def _blobs(front: dict) -> list[bytes]:
+    return [packed(front[k].astype(kind)) for k, kind in FRONT_KINDS.items()]
+
+
+class _Front(_Asker):
+    """A chunk's tokens whose context of so many words may be a state: what _Chunk knows of them."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table | None, buckets: int):
+        super().__init__(table, answers, buckets)
+        self.texts, self.at = table.column("texts")[0].as_py(), {k: self.blob(k, kind) for k, kind in FRONT_KINDS.items()}
+
+    def to(self, question: int) -> tuple[np.ndarray, np.ndarray]:
+        a = self.at
+        some = np.flatnonzero(a["own"] >= LEAST)
+        codes, grams = pd.factorize(longer(a["gram"][some], a["token"][some]))
+        if question % 2:
+            return grams, np.bincount(codes, weights=a["train"][some], minlength=len(grams)).astype(np.int64)
+        told = self.told(question - 1, grams, np.int64)
+        self.then, self.gram = np.zeros(len(a["own"]), np.int64), np.zeros(len(a["own"]), U64)
+        self.then[some], self.gram[some] = (told >> 1)[codes], grams[codes]
+        at = some[_first(codes, len(grams))[(told & 1 == 1) & (told >> 1 >= LEAST)]]
+        self.rows = a["gram"][at], (self.then[at] - DISCOUNT) / a["of"][at], a["p"][at], a["of"][at]
+        self.which, contexts = pd.factorize(a["gram"])
+        return contexts, np.zeros(0, np.int64)
+
+    def summed(self, some: np.ndarray) -> np.ndarray:
+        """The log10 probabilities of these tokens by text."""
+        return np.bincount(self.at["row"][some], weights=np.log10(self.at["p"][some]), minlength=self.texts)
+
+    def step(self, question: int) -> tuple[dict, np.ndarray]:
+        """The next depth's tokens, and the sums of those that end here."""
+        contexts, _ = self.to(question)
+        a, rest = self.at, self.told(question, contexts, np.float64)[self.which]
+        state = ~np.isnan(rest)
+        shown = np.where(self.then >= LEAST, (self.then - DISCOUNT) / a["of"], 0.0)
+        a["p"] = np.where(state, shown + np.where(state, rest, 0.0) * a["p"], a["p"])
+        before = np.maximum(np.searchsorted(a["pos"], a["pos"]) - 1, 0)
+        near = a["pos"][before].astype(np.int64) == a["pos"].astype(np.int64) - 1
+        of = np.where(near, self.then[before], 0)
+        on = np.flatnonzero(state & (of >= LEAST))
+        front = {k: a[k][on] for k in ("row", "pos", "token", "train", "p")} | {"gram": self.gram[before][on], "of": of[on], "own": self.then[on]}
+        return front, self.summed(np.setdiff1d(np.arange(len(of)), on))
+
+
 def _with(chunks: DataFrame, answers: DataFrame | None, run, schema: str) -> DataFrame:
     """run(chunk's row, its answers or None) for each chunk."""
     if answers is not None:
@@ -215,13 +279,13 @@ def _with(chunks: DataFrame, answers: DataFrame | None, run, schema: str) -> Dat
     return chunks.mapInArrow(each, schema)
 
 
-def _asked(chunks: DataFrame, answers: DataFrame | None, question: int, buckets: int, size: float) -> DataFrame:
+def _asked(chunks: DataFrame, answers: DataFrame | None, question: int, asker) -> DataFrame:
     """kind 0: the keys that a chunk asks a bucket for. kind 1: with an even question, the rows of which states are made."""
 
     def ask(table: pa.Table, known: pa.Table | None) -> pa.Table:
-        c = _Chunk(table, known, buckets, size)
+        c = asker(table, known)
         keys, counts = c.to(question)
-        order, bucket = _dealt(keys, buckets)
+        order, bucket = _dealt(keys, c.buckets)
         keys, counts = keys[order], counts[order].astype(np.uint32) if len(counts) else counts
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         cuts = [*first.tolist(), len(bucket)]
@@ -292,34 +356,91 @@ def _states(rows: DataFrame, buckets: int) -> DataFrame:
     return kept.select(bucket.alias("bucket"), "context", "rest")
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and depth of the tree, for every document."""
-    base = folder(docs.sparkSession)
-    chunks = written(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())), f"{base}/chunks")
-    n_all, n_train = (int(x or 0) for x in chunks.agg(F.sum("n"), F.sum("n_train")).first())
-    buckets = max(64, n_all // BUCKET_KEYS)
+def _row(c: _Asker, schema: str, values: list) -> pa.Table:
+    """One row of a chunk's values, null for those not given."""
+    types = {"long": pa.int64(), "binary": pa.binary()}
+    values = [c.id, *values]
+    return pa.table([pa.array([v], types[x.split()[1]]) for x, v in zip(schema.split(", "), values)], names=_names(schema))
+
+
+def _deep(front: DataFrame, done: list[DataFrame], question: int, buckets: int, base: str) -> tuple[list[DataFrame], int]:
+    """done with the scores of all tokens that front has, and the tree's depth."""
+    ask = lambda table, known: _Front(table, known, buckets)
+    both = f"kind int, chunk long, {FRONT}, sums binary"
+
+    def step(question: int):
+        def run(table: pa.Table, known: pa.Table) -> pa.Table:
+            c = ask(table, known)
+            new, sums = c.step(question)
+            return _row(c, "chunk long, " + both.split(", ", 2)[2] + ", kind long", [c.texts, *_blobs(new), packed(sums), len(new["row"])]).select(_names(both)).set_column(0, "kind", pa.array([int(len(new["row"]) > 0)], pa.int32()))
+
+        return run
+
+    def end(table: pa.Table, known: None) -> pa.Table:
+        c = ask(table, known)
+        return _row(c, DONE, [None, None, None, None, packed(c.summed(np.arange(len(c.at["row"]))))])
 
-    first = written(_totals(_asked(chunks, None, 0, buckets, 0.0), 0), f"{base}/answers0")
-    v = sum(int(unpacked(r["answer"], r["kind"])[0]) for r in first.where("chunk = -1").select("kind", "answer").toLocalIterator())
-    size, answers, depth = n_train + ALPHA * (v + 1), first.where("chunk >= 0"), 0
     while True:
-        question = 2 * depth + 1
-        counts = written(_totals(_asked(chunks, answers, question, buckets, size), question), f"{base}/answers{question}")
+        counts = written(_totals(_asked(front, None, question, ask), question), f"{base}/answers{question}")
         if not counts.limit(1).count():
             break
-        asked = written(_asked(chunks, answers.unionByName(counts), question + 1, buckets, size), f"{base}/asked{question}")
+        asked = written(_asked(front, counts, question + 1, ask), f"{base}/asked{question}")
         states = written(_states(asked.where("kind = 1").select("context", "p", "parent", "of"), buckets), f"{base}/states{question}")
         if not states.limit(1).count():
             break
         left = written(_leavings(asked.where("kind = 0"), states, question + 1), f"{base}/answers{question + 1}")
-        answers, depth = answers.unionByName(counts).unionByName(left), depth + 1
-        remove(docs.sparkSession, f"{base}/asked{question}")
+        new = written(_with(front, counts.unionByName(left), step(question + 1), both), f"{base}/front{question}")
+        done = [*done, new.selectExpr("chunk", *(f"CAST(NULL AS BINARY) AS {c}" for c in _names(DONE)[1:5]), "sums AS score")]
+        front, question = new.where("kind = 1").drop("kind", "sums"), question + 2
+    return [*done, _with(front, None, end, DONE)], (question - 1) // 2
+
+
+def score(docs: DataFrame, deep: int = DEEP) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and depth of the tree, for every document."""
+    base = folder(docs.sparkSession)
+    chunks = written(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())), f"{base}/chunks")
+    n_all, n_train = (int(x or 0) for x in chunks.agg(F.sum("n"), F.sum("n_train")).first())
+    buckets = max(64, n_all // BUCKET_KEYS)
 
-    def final(table: pa.Table, known: pa.Table) -> pa.Table:
-        c = _Chunk(table, known, buckets, size)
-        c.to(-1 if depth else 1)
-        sums = [np.add.reduceat(x, c.offsets[:-1]) for x in (c.known.astype(np.int64), np.log10(c.root), np.log10(c.p))]
-        return pa.table([pa.array(x) for x in (c.ids, c.size, *sums)], names=_names(OUT))
+    first = written(_totals(_asked(chunks, None, 0, lambda table, known: _Chunk(table, known, buckets, 0.0)), 0), f"{base}/answers0")
+    v = sum(int(unpacked(r["answer"], r["kind"])[0]) for r in first.where("chunk = -1").select("kind", "answer").toLocalIterator())
+    size, answers, depth, more = n_train + ALPHA * (v + 1), first.where("chunk >= 0"), 0, True
+    ask = lambda table, known: _Chunk(table, known, buckets, size)
+    while more and depth + 1 < deep:
+        question = 2 * depth + 1
+        counts = written(_totals(_asked(chunks, answers, question, ask), question), f"{base}/answers{question}")
+        if more := bool(counts.limit(1).count()):
+            asked = written(_asked(chunks, answers.unionByName(counts), question + 1, ask), f"{base}/asked{question}")
+            states = written(_states(asked.where("kind = 1").select("context", "p", "parent", "of"), buckets), f"{base}/states{question}")
+            if more := bool(states.limit(1).count()):
+                left = written(_leavings(asked.where("kind = 0"), states, question + 1), f"{base}/answers{question + 1}")
+                answers, depth = answers.unionByName(counts).unionByName(left), depth + 1
+            remove(docs.sparkSession, f"{base}/asked{question}")
+
+    def reached(table: pa.Table, known: pa.Table) -> pa.Table:
+        c = _Chunk(table, known, buckets, size, depth + 1)
+        c.to(-1)
+        rest = np.ones(len(c.p), bool)
+        rest[c.front["pos"]] = not more
+        by_text = [np.add.reduceat(x, c.offsets[:-1]) for x in (c.known.astype(np.int64), np.log10(c.root), np.where(rest, np.log10(c.p), 0.0))]
+        if not more:
+            c.front = {k: x[:0] for k, x in c.front.items()}
+        both = [packed(c.ids), packed(c.size), *map(packed, by_text), len(c.size), *_blobs(c.front)]
+        return _row(c, f"{DONE}, {FRONT}", both)
+
+    at = written(_with(chunks, answers, reached, f"{DONE}, {FRONT}"), f"{base}/reached")
+    done = [at.select(*_names(DONE))]
+    if more:
+        done, depth = _deep(at.select("chunk", *_names(FRONT)), done, 2 * depth + 1, buckets, base)
+    all_done = done[0]
+    for x in done[1:]:
+        all_done = all_done.unionByName(x)
+
+    def final(table: pa.Table) -> pa.Table:
+        whole = table.filter(table.column("ids").is_valid())
+        ids, sizes, known, root = (unpacked(whole.column(k)[0].as_py(), kind) for k, kind in zip(("ids", "size", "known", "base"), (np.int64, np.int64, np.int64, np.float64)))
+        parts = sum(unpacked(x, np.float64) for x in table.column("score").to_pylist())
+        return pa.table([pa.array(x) for x in (ids, sizes, known, root, parts)], names=_names(OUT))
 
     held_out = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).alias("held_out")
-    return _with(chunks, answers, final, OUT).select("doc_id", held_out, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", F.lit(depth).alias("depth"))
+    return all_done.groupBy("chunk").applyInArrow(final, OUT).select("doc_id", held_out, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", F.lit(depth).alias("depth"))

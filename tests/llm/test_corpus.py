@@ -165,8 +165,8 @@ def brute_lm(rows):
     return scores, max(map(len, states)), p, [g[0] for g in n if len(g) == 1]
 
 
-@pytest.mark.parametrize("chunk, bucket", [(500_000, 1_000_000), (150, 40)])
-def test_lm_is_the_suffix_tree_of_the_definition(spark, monkeypatch, chunk, bucket):
+@pytest.mark.parametrize("chunk, bucket, deep", [(500_000, 1_000_000, 9), (150, 40, 2)])
+def test_lm_is_the_suffix_tree_of_the_definition(spark, monkeypatch, chunk, bucket, deep):
     """Contexts of any length, in one chunk and in many, with unseen words, ties and rows that repeat an id."""
     monkeypatch.setattr(lm, "CHUNK", chunk)
     monkeypatch.setattr(lm, "BUCKET_KEYS", bucket)
@@ -176,7 +176,7 @@ def test_lm_is_the_suffix_tree_of_the_definition(spark, monkeypatch, chunk, buck
     rows += [(7, "w1 w2 w3 w1 w2 w3"), (9_000, None), (9_001, "unseen WORDS w1")]
     scores, depth, p, vocabulary = brute_lm(rows)
     assert depth >= 3
-    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), deep).collect()
     assert {r["depth"] for r in got} == {depth} and len(got) == len(rows)
     assert sorted((r["doc_id"], round(r["score"], 8)) for r in got) == sorted((i, round(x, 8)) for (i, _), x in zip(rows, scores))
     assert sum(r["score"] for r in got if r["held_out"]) > 0.8 * sum(r["base_score"] for r in got if r["held_out"])  # nearer to 0: order helps
