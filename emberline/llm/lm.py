@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ..scratch import folder, remove, written
 from ._bytes import U64, Block, blocks, mix
 
-CHUNK = 500_000
+CHUNK = 600_000
 BUCKET_KEYS = 1_000_000
 LEAST = 4
 DISCOUNT = 0.5
@@ -208,9 +208,9 @@ class _Chunk(_Asker):
                 rows = some[_first(codes, len(grams))[(told & 1 == 1) & (told >> 1 >= LEAST)]]
                 self.rows = gram[rows - 1], (then[rows] - DISCOUNT) / count[rows - 1], self.p[rows], count[rows - 1]
                 return contexts, np.zeros(0, np.int64)
-            rest = self.told(2 * depth, contexts, np.float64)[of]
-            state = ~np.isnan(rest)
-            after, rest = after[state], rest[state]
+            left = self.told(2 * depth, contexts, np.int64)[of]
+            after, left = after[left > 0], left[left > 0]
+            rest = left / (2 * count[after - 1])
             if self.root is not None:
                 shown = np.where(then[after] >= LEAST, (then[after] - DISCOUNT) / count[after - 1], 0.0)
                 self.p = self.p.copy()
@@ -254,10 +254,10 @@ class _Front(_Asker):
     def step(self, question: int) -> tuple[dict, np.ndarray]:
         """The next depth's tokens, and the sums of those that end here."""
         contexts, _ = self.to(question)
-        a, rest = self.at, self.told(question, contexts, np.float64)[self.which]
-        state = ~np.isnan(rest)
+        a, left = self.at, self.told(question, contexts, np.int64)[self.which]
+        state, rest = left > 0, left / (2 * self.at["of"])
         shown = np.where(self.then >= LEAST, (self.then - DISCOUNT) / a["of"], 0.0)
-        a["p"] = np.where(state, shown + np.where(state, rest, 0.0) * a["p"], a["p"])
+        a["p"] = np.where(state, shown + rest * a["p"], a["p"])
         before = np.maximum(np.searchsorted(a["pos"], a["pos"]) - 1, 0)
         near = a["pos"][before].astype(np.int64) == a["pos"].astype(np.int64) - 1
         of = np.where(near, self.then[before], 0)
@@ -329,31 +329,31 @@ def _totals(asked: DataFrame, question: int) -> DataFrame:
 
 
 def _leavings(asked: DataFrame, states: DataFrame, question: int) -> DataFrame:
-    """The answers to a question about states: what the state leaves to its suffix, NaN where the context isn't one."""
+    """The answers to a question about states: twice the count that the state leaves to its suffix, 0 where the context isn't one."""
 
     def left(table: pa.Table, known: pa.Table) -> pa.Table:
-        context, rest = known.column("context").to_numpy().view(U64), known.column("rest").to_numpy()
+        context, rest = known.column("context").to_numpy().view(U64), known.column("left").to_numpy()
         order = np.argsort(context)
         context, rest = context[order], rest[order]
         values = []
         for x in table.column("keys"):
             keys = np.frombuffer(x.as_buffer(), U64)
             at = np.minimum(np.searchsorted(context, keys), max(len(context) - 1, 0))
-            values.append(np.where(context[at] == keys, rest[at], np.nan) if len(context) else np.full(len(keys), np.nan))
-        return _reply(table, question, values, "<f8", -1)
+            values.append(np.where(context[at] == keys, rest[at], 0) if len(context) else np.zeros(len(keys), np.int64))
+        return _reply(table, question, values, "<i8", -1)
 
     return asked.select("bucket", "chunk", "keys").groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(left, ANSWERS)
 
 
 def _states(rows: DataFrame, buckets: int) -> DataFrame:
-    """bucket, context and rest of the contexts that the divergence test retains, of rows (context, p, parent, of)."""
+    """bucket, context and what it leaves (a whole number: twice its count, less 2 count - 1 of each shown n-gram) of the contexts that the divergence test retains, of rows (context, p, parent, of)."""
     sums = rows.groupBy("context").agg(F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("rest"), F.sum("parent").alias("shown"), F.max("of").alias("of"))
     here = F.col("p") + F.col("rest") * F.col("parent")
     gains = rows.select("context", "p", "parent").join(sums, "context").groupBy("context", "rest", "shown", "of").agg(F.sum(here * F.log(here / F.col("parent"))).alias("gain"))
     kept = gains.where(F.col("of") * (F.col("gain") + F.col("rest") * F.log("rest") * F.greatest(1 - F.col("shown"), F.lit(0.0))) >= GAIN)
     # the bucket of the unsigned hash: 2**64 more where the signed one is negative
     bucket = F.pmod(F.pmod("context", F.lit(buckets)) + F.when(F.col("context") < 0, F.lit(2**64 % buckets)).otherwise(0), F.lit(buckets)).cast("long")
-    return kept.select(bucket.alias("bucket"), "context", "rest")
+    return kept.select(bucket.alias("bucket"), "context", F.round(2 * F.col("of") * F.col("rest")).cast("long").alias("left"))
 
 
 def _row(c: _Asker, schema: str, values: list) -> pa.Table:
@@ -391,6 +391,7 @@ def _deep(front: DataFrame, done: list[DataFrame], question: int, buckets: int,
         left = written(_leavings(asked.where("kind = 0"), states, question + 1), f"{base}/answers{question + 1}")
         new = written(_with(front, counts.unionByName(left), step(question + 1), both), f"{base}/front{question}")
         done = [*done, new.selectExpr("chunk", *(f"CAST(NULL AS BINARY) AS {c}" for c in _names(DONE)[1:5]), "sums AS score")]
+        remove(front.sparkSession, f"{base}/asked{question}")
         front, question = new.where("kind = 1").drop("kind", "sums"), question + 2
     return [*done, _with(front, None, end, DONE)], (question - 1) // 2
 
@@ -429,6 +430,8 @@ def score(docs: DataFrame, deep: int = DEEP) -> DataFrame:
         return _row(c, f"{DONE}, {FRONT}", both)
 
     at = written(_with(chunks, answers, reached, f"{DONE}, {FRONT}"), f"{base}/reached")
+    for name in ("chunks", *(f"answers{k}" for k in range(2 * depth + 2))):
+        remove(docs.sparkSession, f"{base}/{name}")
     done = [at.select(*_names(DONE))]
     if more:
         done, depth = _deep(at.select("chunk", *_names(FRONT)), done, 2 * depth + 1, buckets, base)
