@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import dataclasses
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -23,17 +24,18 @@ class Camera:
     source: str = "0"
     width: int = 1280
     height: int = 720
-    fps: int = 15
-    reconnect_backoff_s: float = 1.0
+    fps: int = 5
+    reconnect_backoff_s: float = 2.0
     max_reconnect_backoff_s: float = 30.0
 
 
 @dataclass(frozen=True)
 class Detector:
-    kind: str = "mock"
+    kind: str = "detection"
     model_path: str = ""
     layout: str = "auto"
     input_size: int = 640
+    providers: tuple[str, ...] = ("CPUExecutionProvider",)
     class_names: tuple[str, ...] = ()
     default_threshold: float = 0.5
     nms_iou: float = 0.45
@@ -73,25 +75,25 @@ class Quality:
 
 @dataclass(frozen=True)
 class Printer:
-    base_url: str = ""
-    timeout_s: float = 3.0
-    poll_interval_s: float = 2.0
-    pause_macro: str = ""
+    base_url: str = "http://localhost:7125"
+    timeout_s: float = 5.0
+    poll_interval_s: float = 1.0
+    pause_macro: str | None = None
 
 
 @dataclass(frozen=True)
 class Notify:
-    webhook_url: str | None = None
-    min_interval_s: float = 30.0
+    discord_webhook_url: str | None = None
+    min_interval_s: float = 60.0
     attach_frame: bool = True
 
 
 @dataclass(frozen=True)
 class Storage:
-    events_path: str = "events.jsonl"
-    frames_dir: str = "frames"
+    event_log: str = "logs/events.jsonl"
+    frame_dir: str = "captures"
     max_frames: int = 500
-    retention_days: float = 14.0
+    retention_days: int = 14
 
 
 @dataclass(frozen=True)
@@ -105,27 +107,30 @@ class Settings:
     detector: Detector = Detector()
     decision: Decision = Decision()
     quality: Quality = Quality()
-    printer: Printer = Printer()
+    moonraker: Printer = Printer()
     notify: Notify = Notify()
     storage: Storage = Storage()
     logging: Logging = Logging()
 
 
-#: Allowed values.
-KINDS = ("mock", "onnx", "classifier", "hailo")
-LAYOUTS = ("auto", "raw", "end2end")
+#: Allowed values, and what the names of sections and keys above are: fixed values, as settings files have them.
+KINDS = ("detection", "classification", "hailo")
+NAMED_KINDS = ("classification", "hailo")
+LAYOUTS = ("auto", "yolov8", "end2end")
+SEVERITIES = ("catastrophic", "cosmetic")
+REFERENCE = re.compile(r"env:([A-Za-z_][A-Za-z0-9_]*)")
 MODES = ("notify_only", "pause", "cancel")
 LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
 def environment(value):
-    """Strings of the form env:NAME replaced, at any depth."""
+    """Strings that are exactly env:NAME replaced, at any depth; others stay."""
     if isinstance(value, Mapping):
         return {k: environment(v) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
         return [environment(v) for v in value]
-    if isinstance(value, str) and value.startswith("env:"):
-        return os.environ.get(value[4:])
+    if isinstance(value, str) and (named := REFERENCE.fullmatch(value)):
+        return os.environ.get(named[1])
     return value
 
 
@@ -166,11 +171,12 @@ def rules(s: Settings) -> list[tuple[str, bool]]:
     inside = lambda x: 0 <= x <= 1
     out = [
         (f"detector.kind is one of {', '.join(KINDS)}", det.kind in KINDS),
-        ("detector.class_names is given", det.kind != "onnx" or bool(det.class_names)),
+        (f"detector.class_names is given for {', '.join(NAMED_KINDS)}", det.kind not in NAMED_KINDS or bool(det.class_names)),
         (f"detector.layout is one of {', '.join(LAYOUTS)}", det.layout in LAYOUTS),
         ("detector.default_threshold is in 0..1", inside(det.default_threshold)),
         ("detector.nms_iou is in 0..1", inside(det.nms_iou)),
         *[(f"detector.class_thresholds.{k} is in 0..1", inside(v)) for k, v in det.class_thresholds.items()],
+        *[(f"detector.severity.{k} is one of {', '.join(SEVERITIES)}", v in SEVERITIES) for k, v in det.severity.items()],
         ("detector.class_thresholds and detector.severity name the same classes: " + key_differences(det.class_thresholds, det.severity), set(det.class_thresholds) == set(det.severity)),
         (f"decision.action_mode is one of {', '.join(MODES)}", d.action_mode in MODES),
         *[(f"decision.{k} is in 0..1", inside(getattr(d, k))) for k in ("vote_threshold", "warn_score", "pause_score", "cancel_score", "clear_score")],
@@ -187,7 +193,7 @@ def rules(s: Settings) -> list[tuple[str, bool]]:
         ("quality luma limits are ordered", q.min_mean_luma < q.max_mean_luma),
         ("quality.min_blur_var isn't negative", q.min_blur_var >= 0),
         ("quality.max_frame_age_s is positive", q.max_frame_age_s > 0),
-        ("printer intervals are positive", min(s.printer.timeout_s, s.printer.poll_interval_s) > 0),
+        ("moonraker intervals are positive", min(s.moonraker.timeout_s, s.moonraker.poll_interval_s) > 0),
         ("notify.min_interval_s isn't negative", s.notify.min_interval_s >= 0),
         ("storage limits aren't negative", min(s.storage.max_frames, s.storage.retention_days) >= 0),
         (f"logging.level is one of {', '.join(LEVELS)}", s.logging.level.upper() in LEVELS),

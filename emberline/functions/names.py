@@ -9,8 +9,8 @@ from .scalar import col
 
 #: Patterns of names, and the prefixes and class table of known sources: fixed values.
 AUGMENTED = r"(?i)^(.+)\.rf\.[0-9a-f]+\.(?:jpg|jpeg|png)$"
-AUGMENTED_STEM = r"^(.+)\.rf\.[0-9a-f]+$"
-VARIANT = r"^(.*?)(?:_aug|_original)+$"
+AUGMENTED_STEM = r"(?i)^(.+)\.rf\.[0-9a-f]+$"
+VARIANT = r"^(.+?)_(?:aug|original)$"
 DASHED = r"(?<!\d)(\d{4})[-_](\d{2})[-_](\d{2})[-_ tT](\d{2})[-_:.](\d{2})[-_:.](\d{2})(?!\d)"
 PACKED = r"(?<!\d)(\d{8})[-_ tT](\d{6})(?!\d)"
 RUN = r"(?<!\d)(\d{14,17})(?!\d)"
@@ -37,7 +37,7 @@ def has_suffix(name: Column | str) -> Column:
 
 
 def capture_key(name: Column | str) -> Column:
-    """A stem without its trailing variant marks."""
+    """A stem without its last variant mark, if anything is left of it."""
     return F.when(col(name).rlike(VARIANT), F.regexp_extract(col(name), VARIANT, 1)).otherwise(col(name))
 
 

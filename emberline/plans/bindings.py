@@ -41,9 +41,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as images: uid, source, stem, content hash, and a 60-bit hash of the text's first 40 characters by tens."""
+    """Documents as images: uid, source, stem, content hash, and a 60-bit hash of the whole text by its four quarters."""
     rows = table(spark, sf_dir, "documents")
-    digits = [F.substring(F.md5(F.substring(F.coalesce("text", F.lit("")), 10 * k + 1, 10).cast("binary")), 1, n) for k, n in enumerate((4, 4, 4, 3))]
+    text = F.coalesce("text", F.lit(""))
+    quarter = F.ceil(F.length(text) / 4).cast("int")
+    digits = [F.substring(F.md5(F.substr(text, quarter * k + 1, quarter).cast("binary")), 1, n) for k, n in enumerate((4, 4, 4, 3))]
     phash = F.conv(F.concat(*digits), 16, 10).cast("long")
     return rows.select(
         F.format_string("%s:%07d", "source", "doc_id").alias("uid"), "doc_id", "source", "lang", F.col("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content_hash"), phash.alias("phash")

@@ -13,7 +13,7 @@ RECORDS = f"""{EVENTS}, ticks AS (
 )"""
 DOCS = """docs AS (
     SELECT source || ':' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS uid, doc_id, source, lang, n_chars, sha256(coalesce(text, '')) AS content_hash,
-        CAST('0x' || substr(md5(substr(coalesce(text, ''), 1, 10)), 1, 4) || substr(md5(substr(coalesce(text, ''), 11, 10)), 1, 4) || substr(md5(substr(coalesce(text, ''), 21, 10)), 1, 4) || substr(md5(substr(coalesce(text, ''), 31, 10)), 1, 3) AS BIGINT) AS phash
+        CAST('0x' || substr(md5(substr(coalesce(text, ''), 0 * CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) + 1, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT))), 1, 4) || substr(md5(substr(coalesce(text, ''), 1 * CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) + 1, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT))), 1, 4) || substr(md5(substr(coalesce(text, ''), 2 * CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) + 1, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT))), 1, 4) || substr(md5(substr(coalesce(text, ''), 3 * CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) + 1, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT))), 1, 3) AS BIGINT) AS phash
     FROM documents
 )"""
 PREDICTIONS = """x AS (
@@ -45,7 +45,7 @@ NAMES = """nm AS (
     SELECT o_orderkey, CASE o_orderkey % 7
         WHEN 0 THEN 'Image_' || st || '123_aug.jpg' WHEN 1 THEN 'cam_' || st[1:8] || '_' || st[9:14] || '.PNG' WHEN 2 THEN 'frame_' || o_orderkey || '.rf.0a1b2c3d.jpg'
         WHEN 3 THEN 'cam_v2_x' || o_orderkey || '__y.jpeg' WHEN 4 THEN 'bad_99999999999999_' || o_custkey || '.jpg' WHEN 5 THEN 'fdm_plain_original_aug' ELSE 's.dotted.' || o_orderkey || '-end.jpg' END AS name
-    FROM (SELECT *, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y%m%d%H%M%S') AS st FROM orders WHERE o_orderkey % 5 = 0)
+    FROM (SELECT *, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y%m%d%H%M%S') AS st FROM orders)
 ), stems AS (SELECT *, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS stem FROM nm)"""
 
 
@@ -136,7 +136,7 @@ ORACLES = {
     "identity_epochs": f"""WITH {TICKS}, r AS (
         SELECT *, CAST(coalesce(filename <> lag(filename) OVER u, false) OR coalesce(lag(state) OVER u = 'printing' AND state = 'complete', false) AS INTEGER) AS reset FROM ticks WINDOW u AS (PARTITION BY trace_id ORDER BY tick)
     ) SELECT trace_id, tick, CAST(sum(reset) OVER (PARTITION BY trace_id ORDER BY tick) AS BIGINT) AS epoch FROM r""",
-    "rate_limit": f"""WITH RECURSIVE {EVENTS}, e AS (SELECT user_id, event_id, seconds, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM ev WHERE event_type = 'error'),
+    "rate_limit": f"""WITH RECURSIVE {EVENTS}, e AS (SELECT user_id, event_id, seconds, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM ev),
         r AS (SELECT user_id, event_id, k, seconds AS last, true AS sent FROM e WHERE k = 1
             UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.seconds - r.last >= 21600 THEN e.seconds ELSE r.last END, e.seconds - r.last >= 21600 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
         SELECT user_id, event_id, sent FROM r""",
@@ -191,7 +191,7 @@ ORACLES = {
         x AS (SELECT a.source AS a, b.source AS b, count(*) AS shared FROM s a JOIN s b ON a.content_hash = b.content_hash AND a.source < b.source GROUP BY ALL)
         SELECT a.source AS a, b.source AS b, a.n AS n_a, b.n AS n_b, coalesce(shared, 0) AS shared, round_even(100.0::DOUBLE * coalesce(shared, 0) / a.n, 2) AS pct_of_a, round_even(100.0::DOUBLE * coalesce(shared, 0) / b.n, 2) AS pct_of_b
         FROM n a JOIN n b ON a.source < b.source LEFT JOIN x ON x.a = a.source AND x.b = b.source""",
-    "contained_sources": """WITH s AS (SELECT DISTINCT 's' || (l_suppkey % 6) AS source, l_partkey % 90 AS stem FROM lineitem WHERE l_suppkey <= 12), n AS (SELECT source, count(*) AS n FROM s GROUP BY source)
+    "contained_sources": """WITH s AS (SELECT DISTINCT 's' || (l_suppkey % 6) AS source, l_partkey % 90 AS stem FROM lineitem), n AS (SELECT source, count(*) AS n FROM s GROUP BY source)
         SELECT a.source, b.source AS contained_in, n.n AS n_unique, count(*) AS n_shared, round_even(100.0::DOUBLE * count(*) / n.n, 2) AS pct FROM s a JOIN s b ON a.stem = b.stem AND a.source <> b.source JOIN n ON n.source = a.source
         GROUP BY a.source, b.source, n.n HAVING 100.0 * count(*) / n.n >= 90""",
     "collision_matrix": f"""WITH {DOCS}, c AS (SELECT content_hash, source, count(*) AS n FROM docs GROUP BY ALL)
@@ -211,7 +211,7 @@ ORACLES = {
     "sampled": "SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('11:' || p_partkey), p_partkey) AS r FROM part) WHERE r <= 3",
     "stratified_sample": """WITH c AS (SELECT seg, 42 // count(*) OVER () + CAST(row_number() OVER (ORDER BY seg) <= 42 % count(*) OVER () AS INTEGER) AS n FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer))
         SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('11:' || c_custkey), c_custkey) AS r FROM customer) JOIN c ON seg = c_mktsegment WHERE r <= n""",
-    "budgeted_selection": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS priority FROM orders WHERE o_orderkey % 40 = 0 ORDER BY priority, sha256('11:' || o_orderkey), o_orderkey LIMIT 200",
+    "budgeted_selection": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS priority FROM orders ORDER BY priority, sha256('11:' || o_orderkey), o_orderkey LIMIT 200",
     "split_files": """WITH f AS (SELECT l_orderkey AS g, lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '_' || CAST(l_linenumber AS VARCHAR) AS name FROM lineitem),
         u AS (SELECT *, row_number() OVER (ORDER BY sha256('5:' || g), g) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM f)),
         s AS (SELECT g, CASE WHEN k <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN k <= round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM u),
@@ -219,7 +219,7 @@ ORACLES = {
         SELECT split, count(*) AS n, min(name) AS first, max(name) AS last FROM j WHERE split = 'train' OR rn = 1 GROUP BY split""",
     "split_tallies": f"""WITH {DOCS}, s AS (SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM docs)
         SELECT split, count(DISTINCT source) AS n_groups, count(*) AS n_rows, count(*) FILTER (lang = 'de') AS n_de, count(*) FILTER (lang = 'en') AS n_en, count(*) FILTER (lang = 'es') AS n_es, count(*) FILTER (lang = 'fr') AS n_fr FROM s GROUP BY split""",
-    "balanced_batches": """WITH r AS (SELECT p_partkey, 'c' || (p_partkey % 4 % 3) AS cls FROM part WHERE p_partkey <= 60),
+    "balanced_batches": """WITH r AS (SELECT p_partkey, 'c' || (p_partkey % 4 % 3) AS cls FROM part),
         q AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY sha256('3:' || p_partkey), p_partkey) - 1 AS k, count(*) OVER (PARTITION BY cls) AS n FROM r),
         s AS (SELECT i // 8 AS step, i % 8 AS slot, ['c0', 'c1', 'c2'][i % 3 + 1] AS cls, i // 3 AS draw FROM range(64) g(i))
         SELECT step, slot, s.cls, p_partkey FROM s JOIN q ON q.cls = s.cls AND q.k = s.draw % q.n""",
@@ -253,17 +253,17 @@ ORACLES |= {
         t AS (SELECT min(threshold) FILTER (precision >= 0.2 AND recall >= 0.05) AS threshold FROM pts)
         SELECT round(gap, 9) AS gap, CASE WHEN n <= 1 THEN 'NOT APPLICABLE' WHEN gap IS NULL THEN 'UNDEFINED' WHEN gap >= 0.2 THEN 'LARGE' WHEN gap >= 0.1 THEN 'MODERATE' ELSE 'SMALL' END AS size, threshold IS NOT NULL AND coalesce(gap < 0.2, true) AS fit FROM g, t""",
     "class_support": """SELECT c.class, count(l_orderkey) AS instances, count(DISTINCT l_orderkey) AS images, count(DISTINCT l_partkey) AS source_photos FROM (VALUES ('A'), ('N'), ('R'), ('X')) c(class) LEFT JOIN lineitem ON l_returnflag = c.class GROUP BY c.class""",
-    "class_group_support": "SELECT l_returnflag AS class, count(DISTINCT o_custkey) AS groups FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1",
+    "class_group_support": "SELECT l_returnflag AS class, count(DISTINCT o_custkey) AS groups FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
     "variant_stats": """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), o AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM s)
         SELECT CAST(sum(n) AS BIGINT) AS num_rows, count(*) AS num_groups, min(n) AS min, median(n) AS median, avg(n) AS mean, max(n) AS max, count(*) FILTER (n > 10) AS num_over_10,
             (SELECT n FROM o WHERE k = least(c - 1, CAST(round_even(0.9::DOUBLE * (c - 1), 0) AS BIGINT))) AS p90 FROM s""",
     "score_gap": """SELECT p_partkey, round(r - d, 9) AS absolute, round(CASE WHEN d > 0 THEN (r - d) / d END, 9) AS relative, coalesce(abs(CASE WHEN d > 0 THEN (r - d) / d END) >= 0.1, false) AS significant, r - d > 0 AS optimistic
         FROM (SELECT p_partkey, p_size / 50::DOUBLE AS d, p_partkey % 50 / 50::DOUBLE AS r FROM part)""",
-    "curve_values": """WITH c AS (SELECT p_brand AS class, p_size / 50::DOUBLE AS x, min(p_partkey)::DOUBLE AS y FROM part WHERE p_size % 7 = 0 GROUP BY ALL),
+    "curve_values": """WITH c AS (SELECT p_brand AS class, p_size / 50::DOUBLE AS x, min(p_partkey)::DOUBLE AS y FROM part GROUP BY ALL),
         a AS (SELECT class, list(x ORDER BY x) AS xs, list(y ORDER BY x) AS ys FROM c GROUP BY class), t AS (SELECT unnest([0.05, 0.3, 0.42, 0.61, 0.9])::DOUBLE AS threshold),
         k AS (SELECT *, len(list_filter(xs, lambda v: v <= threshold)) AS i FROM a, t)
         SELECT class, threshold, round(CASE WHEN i = 0 THEN ys[1] WHEN i = len(xs) THEN ys[-1] ELSE ys[i] + (ys[i + 1] - ys[i]) * ((threshold - xs[i]) / (xs[i + 1] - xs[i])) END, 6) AS value FROM k""",
-    "curve_summary": "SELECT p_name AS class, p_size::DOUBLE AS ap FROM part WHERE p_partkey <= 40",
+    "curve_summary": "SELECT p_name AS class, p_size::DOUBLE AS ap FROM part",
     "split_rules": f"""WITH {DOCS}, s AS (SELECT CASE WHEN doc_id % 20 < 18 THEN 'train' WHEN doc_id % 20 = 18 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM docs GROUP BY 1)
         SELECT 'split_imbalance' AS rule, split AS subject FROM s WHERE split <> 'train' AND n / (SELECT sum(n) FROM s)::DOUBLE < 0.15::DOUBLE * 0.6""",
     "class_rules": f"""WITH {DOCS}, s AS (SELECT CASE WHEN doc_id % 3 = 0 AND lang <> 'es' THEN 'val' WHEN doc_id % 3 = 1 THEN 'test' ELSE 'train' END AS split, lang FROM docs),
@@ -274,7 +274,7 @@ ORACLES |= {
         SELECT 'too_few_groups', source, g || ' groups' FROM s WHERE g < 10 AND source <> 'src0' UNION ALL SELECT 'missing_labels', source, m || ' images without labels' FROM s WHERE m > 0 UNION ALL
         SELECT 'no_suffix', source, f || ' of ' || n || ' names' FROM s WHERE f > 0 AND source <> 'src0'""",
     "scene_rules": f"""WITH {DOCS}, t AS (SELECT count(DISTINCT source) AS n FROM docs), c AS (SELECT row_number() OVER () AS ix, * FROM (SELECT s.s, l.l FROM (VALUES (0, 'train'), (1, 'val'), (2, 'test')) s(i, s), (VALUES (0, 'en'), (1, 'es')) l(j, l) ORDER BY i, j)),
-        n AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'train' ELSE 'val' END AS s, lang AS l, count(DISTINCT source) AS n FROM docs WHERE doc_id % 25 = 0 GROUP BY ALL),
+        n AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'train' ELSE 'val' END AS s, lang AS l, count(DISTINCT source) AS n FROM docs GROUP BY ALL),
         r AS (SELECT -1 AS ix, 'only ' || n || ' scenes' AS m FROM t WHERE n < 40 UNION ALL SELECT ix, s || ' has ' || coalesce(n, 0) || ' of ' || l FROM c LEFT JOIN n USING (s, l) WHERE coalesce(n, 0) < 5)
         SELECT count(*) > 0 AS warn, coalesce(string_agg(m, '; ' ORDER BY ix), '') AS reasons FROM r""",
     "session_rules": f"""WITH {DOCS}, r AS (SELECT source AS class, count(DISTINCT doc_id // 200) AS n, count(DISTINCT CASE WHEN doc_id % 9 = 0 THEN doc_id // 400 END) AS v, count(DISTINCT CASE WHEN doc_id % 13 = 0 THEN doc_id // 400 END) AS t FROM docs GROUP BY source),
@@ -287,34 +287,35 @@ ORACLES |= {
         SELECT outcome || '_classes', source, string_agg(name, ', ' ORDER BY name) FROM o WHERE outcome <> 'mapped' GROUP BY outcome, source UNION ALL
         SELECT 'licence_gate', r_name, 'excluded: CC BY-NC 4.0' FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'licence_noncommercial', r_name, 'included: MIT' FROM region WHERE r_regionkey = 4 UNION ALL
         SELECT 'licence_mismatch', r_name, 'MIT but declares GPL' FROM region WHERE r_regionkey = 3 UNION ALL SELECT 'confound_note', 'all', 'check recall by source before trusting pooled scores'""",
-    "retention": """WITH r AS (SELECT 'f' || event_id AS path, ts FROM events WHERE event_type = 'purchase'), m AS (SELECT *, ts < (SELECT max(ts) FROM r) - INTERVAL 20 DAY AS old FROM r),
+    "retention": """WITH r AS (SELECT 'f' || event_id AS path, ts FROM events), m AS (SELECT *, ts < (SELECT max(ts) FROM r) - INTERVAL 20 DAY AS old FROM r),
         k AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY ts DESC, path) AS rn FROM m) SELECT path FROM k WHERE old OR rn > 100""",
     "event_log": f"WITH {EVENTS} SELECT event_id, value AS score, CAST(tick AS INTEGER) AS votes, event_type AS class_name, value AS confidence, 2.0::DOUBLE AS x2 FROM ev",
     "printer_states": """WITH r AS (SELECT *, event_id % 7 = 0 OR event_id % 11 = 0 AS bad FROM events)
         SELECT CASE WHEN bad THEN 'unknown' WHEN event_type = 'view' THEN 'printing' WHEN event_type = 'click' THEN 'paused' WHEN event_type = 'purchase' THEN 'unknown' ELSE 'complete' END AS state, count(*) AS n, count(*) FILTER (NOT bad) AS n_files,
             round(sum(CASE WHEN bad THEN 0 ELSE value END), 3) AS elapsed FROM r GROUP BY 1""",
     "name_keys": f"""WITH {NAMES} SELECT o_orderkey, CASE WHEN regexp_matches(name, '(?i)^(.+)\\.rf\\.[0-9a-f]+\\.(jpg|jpeg|png)$') THEN regexp_extract(name, '(?i)^(.+)\\.rf\\.[0-9a-f]+\\.(jpg|jpeg|png)$', 1) ELSE stem END AS source_id,
-            regexp_matches(name, '(?i)^(.+)\\.rf\\.[0-9a-f]+\\.(jpg|jpeg|png)$') AS matched, regexp_replace(stem, '^(.*?)(_aug|_original)+$', '\\1') AS capture_key, regexp_replace(stem, '^(.+)\\.rf\\.[0-9a-f]+$', '\\1') AS export_key,
+            regexp_matches(name, '(?i)^(.+)\\.rf\\.[0-9a-f]+\\.(jpg|jpeg|png)$') AS matched, CASE WHEN length(stem) > 4 AND right(stem, 4) = '_aug' THEN left(stem, -4) WHEN length(stem) > 9 AND right(stem, 9) = '_original' THEN left(stem, -9) ELSE stem END AS capture_key,
+            CASE WHEN regexp_matches(lower(stem), '^.+\\.rf\\.[0-9a-f]+$') THEN left(stem, length(stem) - length(split_part(lower(stem), '.rf.', -1)) - 4) ELSE stem END AS export_key,
             CASE WHEN starts_with(name, 'fdm_') THEN 'fdm' WHEN starts_with(name, 'cam_v2_') THEN 'cam_v2' WHEN starts_with(name, 'hf_normal_') THEN 'hf_normal' ELSE 'unknown' END AS origin FROM stems""",
     "name_times": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 1) THEN CAST(epoch(o_orderdate) + o_orderkey % 86400 AS BIGINT) ELSE -1 END AS seconds, CASE WHEN o_orderkey % 7 = 0 THEN CAST(epoch(o_orderdate) + o_orderkey % 86400 AS BIGINT) ELSE -1 END AS capture_seconds
-        FROM orders WHERE o_orderkey % 5 = 0""",
+        FROM orders""",
     "name_sequences": f"""WITH {NAMES}, s AS (SELECT o_orderkey, regexp_extract(stem, '^(.*[^0-9])?([0-9][0-9]+)([^0-9]*)$', ['a', 'b', 'c']) AS g, stem FROM stems WHERE regexp_matches(stem, '^(.*[^0-9])?([0-9][0-9]+)([^0-9]*)$'))
         SELECT o_orderkey, g.a || '|' || g.c AS family, CAST(g.b AS BIGINT) AS number FROM s""",
     "manifest_sources": f"""WITH {NAMES}, s AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'listed' WHEN 1 THEN '' ELSE CASE WHEN contains(name, '__') THEN split_part(name, '__', 1) END END AS s FROM nm)
         SELECT coalesce(nullif(s, ''), 'unknown') AS source, count(*) AS n FROM s GROUP BY 1""",
-    "collision_names": """SELECT o_orderkey, 'img' || o_custkey || CASE WHEN r = 1 THEN '' ELSE '_' || (r - 1) END || '.jpg' AS output FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_custkey <= 50)""",
+    "collision_names": """SELECT o_orderkey, 'img' || o_custkey || CASE WHEN r = 1 THEN '' ELSE '_' || (r - 1) END || '.jpg' AS output FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)""",
     "class_keys": """SELECT trim(lower(p_type)) AS key, CASE lower(split_part(p_type, ' ', 1)) WHEN 'economy' THEN 'mapped' WHEN 'large' THEN 'dropped' ELSE 'unmapped' END AS outcome, CASE lower(split_part(p_type, ' ', 1)) WHEN 'economy' THEN 'warping' END AS class, count(*) AS n
         FROM part GROUP BY ALL""",
     "softmax_argmax": f"WITH {PREDICTIONS} SELECT vec_id, CAST(k AS INTEGER) AS k, round(list_max(probs), 6) AS top, round(list_max(probs), 6) AS kept, true AS agree FROM p",
-    "formats": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 60 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 100 / 128::DOUBLE END AS s FROM orders WHERE o_orderkey % 20 = 0)
+    "formats": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 60 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 100 / 128::DOUBLE END AS s FROM orders)
         SELECT o_orderkey, CASE WHEN s IS NULL THEN 'n/a' ELSE printf('%.1f%%', floor(s * 1000 + 0.5) / 10) END AS percent, '...' || right('https://h/' || o_orderkey, 6) AS url, 'frame_' || strftime(o_orderdate, '%Y%m%d_%H%M%S_000') || '.jpg' AS frame,
             lpad(lower(to_hex(o_orderkey)), 16, '0') AS hex FROM o""",
     "schedules": """SELECT p_partkey, round(CASE WHEN p_partkey < 100 THEN 0.01 * (p_partkey + 1) / 100.0::DOUBLE ELSE 0.5 * 0.01 * (1 + cos(pi() * least((p_partkey - 100) / 900.0::DOUBLE, 1.0))) END, 9) AS rate, round(least(0.98, (p_partkey + 1) / (p_partkey + 10)::DOUBLE), 9) AS decay
-        FROM part WHERE p_partkey <= 1000""",
-    "confidence_order": "SELECT l_orderkey AS frame_id, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_extendedprice DESC, l_linenumber) AS \"order\" FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY 1",
+        FROM part""",
+    "confidence_order": "SELECT l_orderkey AS frame_id, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_extendedprice DESC, l_linenumber) AS \"order\" FROM lineitem GROUP BY 1",
 }
 LABELS = """l AS (
-    SELECT l_orderkey, l_linenumber AS k, l_quantity / 50 AS q, l_tax AS t, l_discount AS d FROM lineitem WHERE l_orderkey % 10 = 0
+    SELECT l_orderkey, l_linenumber AS k, l_quantity / 50 AS q, l_tax AS t, l_discount AS d FROM lineitem
 ), f AS (SELECT l_orderkey, k, CAST(printf('%.4f', q) AS DOUBLE) AS q, CAST(printf('%.4f', t) AS DOUBLE) AS t, CAST(printf('%.4f', d) AS DOUBLE) AS d FROM l),
 c AS (
     SELECT l_orderkey, k, CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS cls,

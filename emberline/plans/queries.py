@@ -85,7 +85,7 @@ def identity_epochs(spark, d):
 
 @query
 def rate_limit(spark, d):
-    rows = b.events(spark, d).where("event_type = 'error'").select("user_id", "event_id", "seconds")
+    rows = b.events(spark, d).select("user_id", "event_id", "seconds")
     return decision.rate_limited(rows, "user_id", "event_id", "seconds", 21600.0).select("user_id", "event_id", "sent")
 
 
@@ -254,7 +254,7 @@ def overlap_matrix(spark, d):
 @query
 def contained_sources(spark, d):
     l = b.table(spark, d, "lineitem")
-    sets = similarity.stem_sets(l.where("l_suppkey <= 12").select(F.concat(F.lit("s"), (F.col("l_suppkey") % 6).cast("string")).alias("source"), (F.col("l_partkey") % 90).alias("stem")))
+    sets = similarity.stem_sets(l.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 6).cast("string")).alias("source"), (F.col("l_partkey") % 90).alias("stem")))
     return similarity.contained(sets, 90.0)
 
 
@@ -303,7 +303,7 @@ def stratified_sample(spark, d):
 
 @query
 def budgeted_selection(spark, d):
-    rows = b.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("priority")).where("o_orderkey % 40 = 0")
+    rows = b.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("priority"))
     return splits.budgeted(rows, "priority", "o_orderkey", 200, 11)
 
 
@@ -322,7 +322,7 @@ def split_tallies(spark, d):
 
 @query
 def balanced_batches(spark, d):
-    rows = b.table(spark, d, "part").where("p_partkey <= 60").select("p_partkey", F.concat(F.lit("c"), (F.col("p_partkey") % 4 % 3).cast("string")).alias("cls"))
+    rows = b.table(spark, d, "part").select("p_partkey", F.concat(F.lit("c"), (F.col("p_partkey") % 4 % 3).cast("string")).alias("cls"))
     return splits.round_robin(rows, "cls", "p_partkey", 8, 8, 3).select("step", "slot", "cls", "p_partkey")
 
 
@@ -424,7 +424,7 @@ def class_support(spark, d):
 @query
 def class_group_support(spark, d):
     l = b.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("class"), F.col("l_orderkey").alias("image"))
-    groups = b.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("image"), F.col("o_custkey").alias("group"))
+    groups = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_custkey").alias("group"))
     return metrics.group_support(l, groups)
 
 
@@ -441,14 +441,14 @@ def score_gap(spark, d):
 
 @query
 def curve_values(spark, d):
-    curve = b.table(spark, d, "part").where("p_size % 7 = 0").groupBy(F.col("p_brand").alias("class"), (F.col("p_size") / 50).alias("x")).agg(F.min("p_partkey").cast("double").alias("y"))
+    curve = b.table(spark, d, "part").groupBy(F.col("p_brand").alias("class"), (F.col("p_size") / 50).alias("x")).agg(F.min("p_partkey").cast("double").alias("y"))
     at = spark.createDataFrame([(t,) for t in (0.05, 0.3, 0.42, 0.61, 0.9)], "threshold double")
     return metrics.interpolated(curve, at).select("class", "threshold", F.round("value", 6).alias("value"))
 
 
 @query
 def curve_summary(spark, d):
-    rows = b.table(spark, d, "part").where("p_partkey <= 40").select((F.col("p_partkey") % 4).alias("k"), F.col("p_name").alias("n"), F.col("p_size").cast("double").alias("v"), "p_partkey")
+    rows = b.table(spark, d, "part").select((F.col("p_partkey") % 4).alias("k"), F.col("p_name").alias("n"), F.col("p_size").cast("double").alias("v"), "p_partkey")
     arrays = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "n", "v"))).alias("a")).select("k", F.col("a.n").alias("classes"), F.col("a.v").alias("ap"))
     return metrics.curve_summary(arrays, ["ap"])
 
@@ -481,7 +481,7 @@ def source_rules(spark, d):
 def scene_rules(spark, d):
     docs = b.documents(spark, d)
     total = docs.agg(F.countDistinct("source").alias("n"))
-    per = docs.where("doc_id % 25 = 0").groupBy(F.when(F.col("doc_id") % 50 == 0, "train").otherwise("val").alias("split"), F.col("lang").alias("class")).agg(F.countDistinct("source").alias("n"))
+    per = docs.groupBy(F.when(F.col("doc_id") % 50 == 0, "train").otherwise("val").alias("split"), F.col("lang").alias("class")).agg(F.countDistinct("source").alias("n"))
     return rules.scene_reasons(total, per, ["en", "es"])
 
 
@@ -511,7 +511,7 @@ def data_rules(spark, d):
 
 @query
 def retention(spark, d):
-    rows = b.events(spark, d).where("event_type = 'purchase'").select(F.concat(F.lit("f"), "event_id").alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
+    rows = b.events(spark, d).select(F.concat(F.lit("f"), "event_id").alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
     from datetime import UTC, datetime
 
     newest = rows.agg(F.max("modificationTime")).first()[0]
@@ -545,7 +545,7 @@ def printer_states(spark, d):
 
 
 def _names(spark, d):
-    o = b.table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = b.table(spark, d, "orders")
     stamp = F.date_format(F.col("o_orderdate").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, o_orderkey % 86400)"), "yyyyMMddHHmmss")
     k = F.col("o_orderkey") % 7
     name = (
@@ -586,7 +586,7 @@ def manifest_sources(spark, d):
 
 @query
 def collision_names(spark, d):
-    rows = b.table(spark, d, "orders").where("o_custkey <= 50").select("o_orderkey", F.concat(F.lit("img"), F.col("o_custkey"), F.lit(".jpg")).alias("name"))
+    rows = b.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("img"), F.col("o_custkey"), F.lit(".jpg")).alias("name"))
     rank = F.row_number().over(Window.partitionBy("name").orderBy("o_orderkey")) - 1
     return rows.select("o_orderkey", names.collision_name("name", rank).alias("output"))
 
@@ -607,7 +607,7 @@ def softmax_argmax(spark, d):
 
 
 def _labels(spark, d):
-    l = b.table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    l = b.table(spark, d, "lineitem")
     k = F.col("l_linenumber")
     s = lambda c: F.format_string("%.4f", F.col(c).cast("double") if c != "l_quantity" else (F.col("l_quantity") / 50).cast("double"))
     line = (
@@ -635,19 +635,19 @@ def label_classes(spark, d):
 
 @query
 def formats(spark, d):
-    o = b.table(spark, d, "orders").where("o_orderkey % 20 = 0")
+    o = b.table(spark, d, "orders")
     share = F.when(F.col("o_orderkey") % 60 != 0, F.floor(F.col("o_totalprice")) % 100 / 128)
     return o.select("o_orderkey", scalar.percent(share).alias("percent"), scalar.redacted_url(F.concat(F.lit("https://h/"), "o_orderkey")).alias("url"), scalar.frame_name(F.col("o_orderdate").cast("timestamp")).alias("frame"), scalar.hash_hex("o_orderkey").alias("hex"))
 
 
 @query
 def schedules(spark, d):
-    p = b.table(spark, d, "part").where("p_partkey <= 1000")
+    p = b.table(spark, d, "part")
     step = F.col("p_partkey").cast("double")
     return p.select("p_partkey", F.round(scalar.cosine_schedule(step, 1000, 100, 0.01), 9).alias("rate"), F.round(scalar.ema_decay(step, 0.98), 9).alias("decay"))
 
 
 @query
 def confidence_order(spark, d):
-    rows = b.table(spark, d, "lineitem").where("l_orderkey % 25 = 0").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").cast("int").alias("class_id"), F.col("l_returnflag").alias("class_name"), F.col("l_extendedprice").alias("confidence"), F.array(F.lit(0.0)).alias("bbox"), F.lit("cosmetic").alias("severity"))
+    rows = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").cast("int").alias("class_id"), F.col("l_returnflag").alias("class_name"), F.col("l_extendedprice").alias("confidence"), F.array(F.lit(0.0)).alias("bbox"), F.lit("cosmetic").alias("severity"))
     return detections.per_frame(rows).select("frame_id", F.concat_ws(",", F.transform("detections", lambda x: x["class_id"].cast("string"))).alias("order"))

@@ -121,7 +121,7 @@ def test_suppression(spark):
     df = spark.createDataFrame(rows, "frame_id long, class_id int, class_name string, confidence double, bbox array<double>, severity string")
     out = detections.per_frame(detections.suppressed(df, 0.45)).first()["detections"]
     assert [d["confidence"] for d in out] == [0.9, 0.7]
-    assert detections.layout((1, 84, 8400), 80) == "raw" and detections.layout((1, 300, 6), 80) == "end2end"
+    assert detections.layout((1, 84, 8400), 80) == "yolov8" and detections.layout((1, 300, 6), 80) == "end2end"
     with pytest.raises(ValueError):
         detections.layout((1, 7, 9), 80)
     assert detections.embedded("{0: 'a', 1: 'b'}") == ["a", "b"] and detections.embedded("{1: 'a'}") is None and detections.embedded("oops") is None
@@ -131,14 +131,35 @@ def test_suppression(spark):
 
 def test_settings(monkeypatch):
     monkeypatch.setenv("HOOK", "https://h")
-    s = config.from_mapping({"notify": {"webhook_url": "env:HOOK"}, "decision": {"window": 5, "warn_votes": 2, "pause_votes": 3, "cancel_votes": 4}})
-    assert s.notify.webhook_url == "https://h" and s.decision.window == 5 and config.from_mapping(None) == config.Settings()
+    s = config.from_mapping({"notify": {"discord_webhook_url": "env:HOOK"}, "decision": {"window": 5, "warn_votes": 2, "pause_votes": 3, "cancel_votes": 4}})
+    assert s.notify.discord_webhook_url == "https://h" and s.decision.window == 5 and config.from_mapping(None) == config.Settings()
     assert config.environment({"a": ["env:NOT_SET_ANYWHERE"]}) == {"a": [None]}
-    for bad in ({"nope": {}}, {"decision": {"nope": 1}}, {"decision": {"ema_alpha": 0}}, {"decision": {"warn_votes": 13}}, {"decision": {"pause_score": 0.1}}, {"detector": {"class_thresholds": {"a": 0.5}}}, {"quality": {"min_mean_luma": 250}}, []):
+    for bad in ({"nope": {}}, {"decision": {"nope": 1}}, {"decision": {"ema_alpha": 0}}, {"decision": {"warn_votes": 13}}, {"decision": {"pause_score": 0.1}}, {"detector": {"class_thresholds": {"a": 0.5}}}, {"quality": {"min_mean_luma": 250}}, [],
+                {"detector": {"kind": "onnx"}}, {"detector": {"kind": "classification"}}, {"detector": {"layout": "raw"}}, {"detector": {"class_thresholds": {"a": 0.5}, "severity": {"a": "bad"}}}):
         with pytest.raises(config.ConfigError):
             config.from_mapping(bad)
 
 
+def test_a_settings_file(tmp_path, monkeypatch):
+    """Every section and key of a settings file as users have it."""
+    monkeypatch.delenv("HOOK", raising=False)
+    (tmp_path / "c.yaml").write_text("""
+camera: {source: "0", width: 1280, height: 720, fps: 5, reconnect_backoff_s: 2.0, max_reconnect_backoff_s: 30.0}
+detector:
+  {kind: detection, model_path: m.onnx, input_size: 640, providers: [CPUExecutionProvider], layout: auto, nms_iou: 0.45, default_threshold: 0.5,
+   class_thresholds: {spaghetti: 0.75, warping: 0.5}, severity: {spaghetti: catastrophic, warping: cosmetic}}
+decision: {tick_interval_s: 1.0, warmup_s: 180, window: 12, cancel_enabled: false, action_mode: notify_only}
+quality: {min_mean_luma: 20.0, max_mean_luma: 240.0, min_blur_var: 45.0, max_frame_age_s: 5.0}
+moonraker: {base_url: "http://localhost:7125", timeout_s: 5.0, poll_interval_s: 1.0, pause_macro: null}
+notify: {discord_webhook_url: "env:HOOK", attach_frame: true, min_interval_s: 60}
+storage: {event_log: "env: not a reference", frame_dir: captures, max_frames: 500, retention_days: 14}
+logging: {level: info}
+""")
+    s = config.load(str(tmp_path / "c.yaml"))
+    assert s.detector.providers == ("CPUExecutionProvider",) and s.notify.discord_webhook_url is None and s.storage.event_log == "env: not a reference"
+    assert s.moonraker == config.Settings().moonraker and s.camera == config.Settings().camera
+
+
 def test_events_and_ticks(spark, tmp_path):
     log = tmp_path / "log.jsonl"
     assert files.read_events(spark, str(log)).count() == 0
