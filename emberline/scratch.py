@@ -1,8 +1,9 @@
 """Shared scratch tables: where lineage is cut, and where archives and models lie.
 
 The folder is the one the cluster names in spark.checkpoint.dir, which driver
-and executors share. Where that is unset (tests on one machine), a temporary
-folder is made and set once for the session.
+and executors share. Where that is unset, a local session (tests on one machine)
+gets a temporary folder, set once; any other is refused, since executors would not
+share it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ def folder(spark: SparkSession) -> str:
     """The URI of a new folder of this session's own; it goes when the interpreter ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="emberline-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/emberline-{uuid.uuid4().hex}"

@@ -206,3 +206,19 @@ def test_rule_engine(spark):
     total = spark.createDataFrame([(50,)], "n long")
     full = spark.createDataFrame([(s, c, 9) for s in splits.SPLITS for c in ("a", "b")], "split string, class string, n long")
     assert not rules.scene_reasons(total, full, ["a", "b"]).first()["warn"]
+
+
+@pytest.mark.parametrize("master, fine", [("local[8]", True), ("local", True), ("local-cluster[3,2,1024]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_scratch_needs_a_shared_folder(master, fine):
+    """Without spark.checkpoint.dir only a local session gets a folder."""
+    from types import SimpleNamespace
+
+    from emberline import scratch
+
+    set_to = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: set_to.get("dir"), set=lambda k, v: set_to.update(dir=v)), sparkContext=SimpleNamespace(master=master))
+    if fine:
+        assert scratch.folder(session).startswith("file:///")
+    else:
+        with pytest.raises(RuntimeError):
+            scratch.folder(session)
