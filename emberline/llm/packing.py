@@ -8,10 +8,12 @@ partially filled windows smallest is taken (ties: the fullest window). The
 counts are one array indexed by level.
 
 A document longer than a window is cut into whole windows and a rest; the rest
-is placed. When a partition ends, or when more than OPEN windows are open, the
-contents of the open windows are streamed into full windows by further cuts;
-what is left at the very end goes into windows whose sizes are the powers of
-two of its length, which need no padding.
+is placed. When a partition ends, the fullest windows that are open are filled
+with what the emptiest hold, cut to fit, so most pieces stay where they were
+placed; what the last window holds goes into windows whose sizes are the powers
+of two of its length, which need no padding. Open windows keep HELD ids at most
+(a partition of long rests only may never close one): beyond that, half of what
+they hold is settled in the same way, and placing goes on among the others.
 
 Ids: the tokenizer drops white space and never joins across it, so a text's ids
 are those of its white-space-separated words in turn, cut further where the
@@ -38,7 +40,8 @@ from ._bytes import Block, Rolling, blocks, units
 
 CAPACITY = 4096
 END_ID = 2
-OPEN = 2048
+HELD = 16_000_000
+PIECE = 64
 REMEMBER = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LINE = 256
@@ -118,21 +121,21 @@ class WordEncoder:
 
 
 class Packer:
-    """Open windows by fill level, with the number at each level in one array."""
+    """Open windows by fill level, with the number at each level in one array; they hold `most` ids at most, a piece counting as PIECE more."""
 
-    def __init__(self, capacity: int = CAPACITY, first_sequence: int = 0, most_open: int = OPEN):
-        self.capacity, self.next, self.most_open = capacity, first_sequence, most_open
+    def __init__(self, capacity: int = CAPACITY, first_sequence: int = 0, most: int = HELD):
+        self.capacity, self.next, self.most, self.held = capacity, first_sequence, most, 0
         self.count = np.zeros(capacity + 1, dtype=np.int64)
         self.at: list[list] = [[] for _ in range(capacity)]
-        self.open = 0
         self.rows: list[tuple] = []
+        self.cut = 0
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n, whole = len(ids), len(ids) // self.capacity * self.capacity
         for start in range(0, whole, self.capacity):
             self.close([(doc_id, start, ids[start : start + self.capacity], n)])
         if n > whole:
-            self.place((doc_id, whole, ids[whole:], n))
+            self.place((doc_id, whole, ids[whole:].copy(), n))
 
     def place(self, piece: tuple) -> None:
         size, top = len(piece[2]), self.capacity
@@ -148,17 +151,20 @@ class Packer:
         window = self.at[level].pop() if level else []
         if level:
             self.count[level] -= 1
-        else:
-            self.open += 1
         window.append(piece)
+        self.held += size + PIECE
         if level + size == top:
-            self.open -= 1
-            self.close(window)
+            self.shut(window)
         else:
             self.count[level + size] += 1
             self.at[level + size].append(window)
-            if self.open > self.most_open:
-                self.flush(last=False)
+            if self.held > self.most:
+                self.settle(self.most // 2)
+
+    def shut(self, window: list[tuple]) -> None:
+        """Close a window that was open."""
+        self.held -= sum(len(p[2]) + PIECE for p in window)
+        self.close(window)
 
     def close(self, window: list[tuple]) -> None:
         offset = 0
@@ -167,28 +173,47 @@ class Packer:
             offset += len(ids)
         self.next += 1
 
-    def flush(self, last: bool = True) -> None:
-        """Stream what open windows hold into full ones; keep the rest open, or cut it into powers of two."""
-        pieces = [p for windows in reversed(self.at) for w in windows for p in w]
+    def settle(self, most: int) -> None:
+        """Fill the fullest open windows with what the emptiest hold, cut to fit, until no more than `most` is held or one window is left."""
+        windows = [[w, level] for level in range(self.capacity - 1, 0, -1) for w in self.at[level]]
+        full, spare = 0, len(windows) - 1
+        while full < spare and self.held > most:
+            (into, level), (out, left) = windows[full], windows[spare]
+            doc_id, start, ids, n = out.pop()
+            size = min(len(ids), self.capacity - level)
+            into.append((doc_id, start, ids[:size], n))
+            windows[full][1], windows[spare][1] = level + size, left - size
+            self.cut += size
+            if size < len(ids):
+                out.append((doc_id, start + size, ids[size:].copy(), n))
+                self.held += PIECE
+            if level + size == self.capacity:
+                self.shut(into)
+                full += 1
+            spare -= left == size
+        self.count[:] = 0
+        self.at = [[] for _ in range(self.capacity)]
+        for window, level in windows[full : spare + 1]:
+            self.count[level] += 1
+            self.at[level].append(window)
+
+    def flush(self) -> None:
+        """Settle all open windows, and cut the contents of the last one into powers of two."""
+        self.settle(0)
+        pieces = [p for windows in self.at for w in windows for p in w]
         left = sum(len(p[2]) for p in pieces)
         self.count[:] = 0
-        self.at, self.open = [[] for _ in range(self.capacity)], 0
-        window, room, size = [], 0, 0
+        self.at, self.held = [[] for _ in range(self.capacity)], 0
+        window, room = [], 0
         for doc_id, start, ids, n in pieces:
             while len(ids):
-                if not room:
-                    room = size = self.capacity if left >= self.capacity or not last else 1 << (left.bit_length() - 1)
+                room = room or 1 << (left.bit_length() - 1)
                 part = ids[:room]
                 window.append((doc_id, start, part, n))
                 ids, start, room, left = ids[len(part) :], start + len(part), room - len(part), left - len(part)
                 if not room:
                     self.close(window)
                     window = []
-        if window:
-            level = size - room
-            self.count[level] += 1
-            self.at[level].append(window)
-            self.open = 1
 
     def taken(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows)) or [()] * 7

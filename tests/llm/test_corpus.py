@@ -447,17 +447,39 @@ def test_packing(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, TOKENIZER).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=60), st.integers(1, 6))
-def test_packer(sizes, most_open):
-    packer = packing.Packer(16, 0, most_open)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.sampled_from([1, 200, 700, 10**9]))
+def test_packer(sizes, most):
+    packer = packing.Packer(16, 0, most)
     for k, n in enumerate(sizes):
-        packer.add(k, np.arange(n, dtype=np.uint32))
+        packer.add(k, np.arange(n, dtype=np.uint32) + 1000 * k)
+        assert packer.held == sum(len(p[2]) + packing.PIECE for windows in packer.at for w in windows for p in w)
     packer.flush()
-    total = collections.Counter()
-    for r in packer.rows:
-        total[r[5]] += r[2]
-    assert sum(total.values()) == sum(sizes) and all(n <= 16 and n & (n - 1) == 0 for n in total.values()) and sum(n < 16 for n in total.values()) <= 4
+    at, filled = collections.Counter(), collections.Counter()
+    for doc, start, length, crc, n, sequence, offset in sorted(packer.rows, key=lambda r: (r[0], r[1])):
+        assert start == at[doc] and n == sizes[doc]
+        assert crc == zlib.crc32((np.arange(start, start + length) + 1000 * doc).astype("<u4").tobytes())
+        at[doc] += length
+    for r in sorted(packer.rows, key=lambda r: (r[5], r[6])):
+        assert r[6] == filled[r[5]]
+        filled[r[5]] += r[2]
+    assert [at[k] for k in range(len(sizes))] == sizes
+    assert all(n <= 16 and n & (n - 1) == 0 for n in filled.values()) and sum(n < 16 for n in filled.values()) <= 4
+
+
+def test_most_ids_stay_where_the_squares_place_them():
+    sizes = np.random.default_rng(3).lognormal(np.log(500), 0.8, 4000).astype(int) + 1
+    shares = []
+    for most in (packing.HELD, 400_000):
+        packer = packing.Packer(most=most)
+        for k, n in enumerate(sizes.tolist()):
+            packer.add(k, np.zeros(n, np.uint32))
+            assert packer.held <= most
+        packer.flush()
+        assert sum(r[2] for r in packer.rows) == sizes.sum()
+        shares.append(packer.cut / sizes.sum())
+    print(shares)
+    assert max(shares) < 0.3
 
 
 def test_sum_of_squares_choice():
