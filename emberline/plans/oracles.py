@@ -48,6 +48,12 @@ NAMES = """nm AS (
     FROM (SELECT *, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y%m%d%H%M%S') AS st FROM orders)
 ), stems AS (SELECT *, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS stem FROM nm)"""
 
+STEMS = """st AS (
+    SELECT o_orderkey % 3 AS source, CASE WHEN o_orderkey % 2 = 1 THEN 'Image_' || strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y%m%d%H%M%S') || '123' ELSE 'cam' || (o_custkey % 5) || '_' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') END AS stem,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'cam' || (o_custkey % 5) || '_|' END AS family, CASE WHEN o_orderkey % 2 = 1 THEN CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 ELSE o_orderkey END AS moment
+    FROM orders
+)"""
+
 
 def machine(source: str, configs: str) -> str:
     """The decision operator over `ticks`, one recursion per trace and configuration; the result is the view `m`."""
@@ -142,6 +148,37 @@ ORACLES = {
         SELECT user_id, event_id, sent FROM r""",
     "asof_state": """SELECT v.user_id, v.event_id, coalesce(p.event_id, -1) AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'view') v
         ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND v.event_id >= p.event_id""",
+    "state_polls": """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+        r AS (SELECT user_id, event_id, k, event_id AS last, true AS polls FROM e WHERE k = 1
+            UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.event_id - r.last >= 500 THEN e.event_id ELSE r.last END, e.event_id - r.last >= 500 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+        SELECT user_id, event_id, polls FROM r""",
+    "recorded_frames": "SELECT CAST(min(event_id) AS DOUBLE) AS ts, 'printing' AS state FROM events WHERE event_type <> 'signup' GROUP BY event_id // 7",
+    "raw_boxes": """WITH r AS (
+            SELECT [l_quantity / 50, l_tax * 10, l_discount * 10] AS s, (l_quantity * 8 - 4) * 2 AS x1, (l_quantity * 12 - 4) * 2 AS x2, (l_tax * 1000 + l_discount * 1000) * 2 AS y2 FROM lineitem
+        ), c AS (SELECT *, list_max(s) AS conf, ['a', 'b', 'c'][list_position(s, list_max(s))] AS class_name FROM r)
+        SELECT class_name, CASE WHEN class_name = 'a' THEN 'catastrophic' ELSE 'cosmetic' END AS severity, count(*) AS n, round(sum(greatest(0, least(639, x1))), 2) AS x1, round(sum(greatest(0, least(639, x2))), 2) AS x2, round(sum(greatest(0, least(479, y2))), 2) AS y2
+        FROM c WHERE conf >= CASE class_name WHEN 'a' THEN 0.9 ELSE 0.25 END GROUP BY class_name""",
+    "suppressed_boxes": """WITH RECURSIVE b AS (SELECT l_orderkey AS f, CAST(l_quantity AS DOUBLE) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice + l_linenumber / 1000 DESC) AS i FROM lineitem),
+        s AS (SELECT f, i, [q] AS kept FROM b WHERE i = 1
+            UNION ALL SELECT s.f, b.i, CASE WHEN len(list_filter(s.kept, lambda k: power(greatest(0, 20 - abs(k - b.q)), 2) > 0.45::DOUBLE * (800 - power(greatest(0, 20 - abs(k - b.q)), 2)))) = 0 THEN list_append(s.kept, b.q) ELSE s.kept END
+            FROM s JOIN b ON b.f = s.f AND b.i = s.i + 1)
+        SELECT f AS frame_id, len(arg_max(kept, i)) AS n_kept FROM s GROUP BY f""",
+    "assigned_groups": f"""WITH RECURSIVE {DOCS}, edge AS (
+            SELECT a.uid AS a, b.uid AS b FROM docs a JOIN docs b ON a.uid <> b.uid AND (a.content_hash = b.content_hash OR bit_count(xor(a.phash, b.phash)) <= 6 OR (a.source = b.source AND a.doc_id // 3 = b.doc_id // 3 AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 0))
+        ), reach AS (SELECT uid AS a, uid AS b FROM docs UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+        root AS (SELECT a AS uid, min(b) AS root FROM reach GROUP BY a)
+        SELECT uid, 'g' || lpad(CAST(dense_rank() OVER (ORDER BY root) - 1 AS VARCHAR), 6, '0') AS "group" FROM root""",
+    "name_groups": f"""WITH {STEMS}, t AS (SELECT DISTINCT source, stem, family, moment FROM st),
+        g AS (SELECT *, lag(moment) OVER w AS before FROM t WINDOW w AS (PARTITION BY source, family ORDER BY moment, stem)),
+        n AS (SELECT *, CAST(sum(CASE WHEN moment - before > CASE WHEN family IS NULL THEN 86400 ELSE 30 END THEN 1 ELSE 0 END) OVER (PARTITION BY source, family ORDER BY moment, stem ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS k FROM g)
+        SELECT source, stem, CASE WHEN family IS NULL THEN 'ts' || lpad(k, 5, '0') ELSE 'seq:' || family || ':' || lpad(k, 5, '0') END AS session FROM n""",
+    "capture_groups": f"""WITH {STEMS}, t AS (SELECT stem, moment, count(*) AS n FROM st WHERE family IS NULL GROUP BY ALL),
+        g AS (SELECT *, lag(moment) OVER (ORDER BY moment) AS before FROM t),
+        k AS (SELECT *, CAST(sum(CASE WHEN moment - before > 7200 THEN 1 ELSE 0 END) OVER (ORDER BY moment ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS k FROM g)
+        SELECT stem, 'session' || lpad(k, 5, '0') AS session, n FROM k UNION ALL SELECT stem, 'unparsed:' || stem, count(*) FROM st WHERE family IS NOT NULL GROUP BY stem""",
+    "first_addresses": """SELECT o_orderkey, 'train' AS split, 'https://h/' || o_orderkey || '/0' AS url FROM orders
+        UNION ALL SELECT o_orderkey, 'val', 'https://h/v' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0""",
+    "file_summary": "SELECT 'd' || (o_orderkey % 5) AS directory, CASE WHEN o_orderkey % 2 = 0 THEN 'jpg' ELSE 'png' END AS ext, count(*) AS n FROM orders GROUP BY 1, 2",
     "gate_reasons": f"WITH {TICKS} SELECT CASE WHEN state <> 'printing' THEN 'not_printing' WHEN tick < 5 THEN 'warmup' WHEN p < 0.05::DOUBLE THEN 'quality:blurred' END AS reason, count(*) AS n FROM ticks GROUP BY 1",
     "clamped_actions": """WITH a AS (SELECT CASE WHEN value > 80 THEN 'cancel' WHEN value > 60 THEN 'pause' WHEN value > 40 THEN 'notify' ELSE 'none' END AS action FROM events)
         SELECT mode, CASE WHEN mode = 'notify_only' AND action IN ('pause', 'cancel') THEN 'notify' WHEN mode = 'pause' AND action = 'cancel' THEN 'pause' ELSE action END AS clamped, count(*) AS n

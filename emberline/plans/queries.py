@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, names, scalar
 from ..operators import decision, detections, grouping, metrics, replay, rules, similarity, splits
 from ..sources import files, printer
+from ..streaming import service
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,10 +93,23 @@ def rate_limit(spark, d):
 @query
 def asof_state(spark, d):
     """Each view with its user's latest purchase."""
-    rows = b.events(spark, d).where("event_type in ('view', 'purchase')")
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
-    return rows.withColumn("purchase_id", last).where("event_type = 'view'").select("user_id", "event_id", F.coalesce("purchase_id", F.lit(-1)).alias("purchase_id"))
+    rows = b.events(spark, d).withColumn("ts", F.col("event_id"))
+    bought = rows.where("event_type = 'purchase'").select("user_id", "ts", F.lit("printing").alias("state"), F.col("event_id").alias("filename"), F.col("value").alias("elapsed_s"))
+    seen = service.with_state(rows.where("event_type = 'view'").select("user_id", "event_id", "ts"), bought, "user_id")
+    return seen.select("user_id", "event_id", F.coalesce("filename", F.lit(-1)).alias("purchase_id"))
+
+
+@query
+def state_polls(spark, d):
+    rows = b.table(spark, d, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("at"))
+    return service.polled(rows, "user_id", "at", 500.0).select("user_id", F.col("at").cast("long").alias("event_id"), "polls")
+
+
+@query
+def recorded_frames(spark, d):
+    """The first printing frame of each seven seconds, an event a second."""
+    rows = b.table(spark, d, "events").select(F.col("event_id").cast("double").alias("ts"), F.when(F.col("event_type") == "signup", "paused").otherwise("printing").alias("state"))
+    return service.recorded(rows, 7.0).select("ts", "state")
 
 
 @query
@@ -159,6 +173,17 @@ def candidate_boxes(spark, d):
     return out.groupBy("class_name", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("bbox", F.lit(0))), 2).alias("x1"), F.round(F.sum(F.get("bbox", F.lit(2))), 2).alias("x2"), F.round(F.sum(F.get("bbox", F.lit(3))), 2).alias("y2"))
 
 
+@query
+def raw_boxes(spark, d):
+    """Candidates of the layout with centres and a score for each class."""
+    rows = b.table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("frame_id"), F.array(F.col("l_quantity") * 10, F.col("l_tax") * 1000, F.col("l_quantity") * 4, F.col("l_discount") * 2000).alias("box"),
+        F.array(F.col("l_quantity") / 50, F.col("l_tax") * 10, F.col("l_discount") * 10).alias("scores"), F.lit(0.5).alias("scale"), F.lit(4.0).alias("pad_x"), F.lit(0.0).alias("pad_y"), F.lit(640).alias("width"), F.lit(480).alias("height"),
+    )
+    out = detections.candidates(rows, ["a", "b", "c"], {"a": 0.9}, 0.25, {"a": "catastrophic"}, raw=True)
+    return out.groupBy("class_name", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("bbox", F.lit(0))), 2).alias("x1"), F.round(F.sum(F.get("bbox", F.lit(2))), 2).alias("x2"), F.round(F.sum(F.get("bbox", F.lit(3))), 2).alias("y2"))
+
+
 @query
 def suppressed_boxes(spark, d):
     l = b.table(spark, d, "lineitem")
@@ -224,6 +249,30 @@ def component_groups(spark, d):
     return grouping.numbered(rooted, "root", "group").select("uid", "group")
 
 
+@query
+def assigned_groups(spark, d):
+    """Documents linked by equal texts, near hashes or as siblings."""
+    docs = b.documents(spark, d).withColumn("stem", F.floor(F.col("doc_id") / 3).cast("string")).withColumn("rf_matched", F.col("doc_id") % 2 == 0)
+    return grouping.assign(docs, use_sessions=False).select("uid", "group")
+
+
+def _stems(spark, d):
+    """Names with a time in them, and names with a number."""
+    stamp = F.date_format(F.col("o_orderdate").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, o_orderkey % 86400)"), "yyyyMMddHHmmss")
+    timed, numbered = F.concat(F.lit("Image_"), stamp, F.lit("123")), F.concat(F.lit("cam"), F.col("o_custkey") % 5, F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+    return b.table(spark, d, "orders").select((F.col("o_orderkey") % 3).alias("source"), F.when(F.col("o_orderkey") % 2 == 1, timed).otherwise(numbered).alias("stem"))
+
+
+@query
+def name_groups(spark, d):
+    return grouping.name_sessions(_stems(spark, d), ["source"], 86400.0, 30).select("source", "stem", "session")
+
+
+@query
+def capture_groups(spark, d):
+    return grouping.capture_sessions(_stems(spark, d), 7200.0).groupBy("stem", "session").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def group_split(spark, d):
     return splits.ratio_split(b.documents(spark, d), "content_hash", 7, (0.6, 0.25, 0.15))
@@ -584,6 +633,21 @@ def manifest_sources(spark, d):
     return n.groupBy(names.manifest_source(listed, "name").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def first_addresses(spark, d):
+    """The first address of each split in a JSON index."""
+    k = F.col("o_orderkey").cast("string")
+    index = F.concat(F.lit('{"default": {"train": ["https://h/'), k, F.lit('/0", "https://h/1"], "val": ['), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"https://h/v'), k, F.lit('"'))).otherwise(""), F.lit("]}}"))
+    urls = F.explode(files.first_urls(index, "default")).alias("u")
+    return b.table(spark, d, "orders").select("o_orderkey", urls).select("o_orderkey", "u.split", "u.url")
+
+
+@query
+def file_summary(spark, d):
+    path = F.concat(F.lit("r/d"), F.col("o_orderkey") % 5, F.lit("/f.x"), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, ".JPG").otherwise(".png"))
+    return files.summary(b.table(spark, d, "orders").select(path.alias("path")))
+
+
 @query
 def collision_names(spark, d):
     rows = b.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("img"), F.col("o_custkey"), F.lit(".jpg")).alias("name"))
